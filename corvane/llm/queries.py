@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.ann import op10_ann
 from corvane.llm.exact_search import OP3_SQL, op3_exact_top_k
+from corvane.llm.mixing import op7_mixing
 from corvane.llm.pieces import op2_sentencepiece
+from corvane.llm.simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_top_k": op3_exact_top_k,
+    "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
     "op10_ann": op10_ann,
 }
 
