@@ -11,10 +11,12 @@ from corvane.llm.exact_search import OP3_SQL, op3_exact_top_k
 from corvane.llm.mixing import op7_mixing
 from corvane.llm.pieces import op2_sentencepiece
 from corvane.llm.simhash import op8_simhash
+from corvane.llm.substring import op5_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_top_k": op3_exact_top_k,
+    "op5_substring": op5_substring,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op10_ann": op10_ann,
