@@ -10,10 +10,12 @@ from corvane.llm.ann import op10_ann
 from corvane.llm.exact_search import OP3_SQL, op3_exact_top_k
 from corvane.llm.mixing import op7_mixing
 from corvane.llm.pieces import op2_sentencepiece
+from corvane.llm.ppm import op1_ppm
 from corvane.llm.simhash import op8_simhash
 from corvane.llm.substring import op5_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm": op1_ppm,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_substring": op5_substring,
