@@ -31,6 +31,8 @@ from corvane.llm.segments import SEG, U, Words, cut, find, message_buckets, pack
 
 #: Bytes of the longest context; at most 6, for a sequence and one bit to fit 64 bits.
 ORDER = 5
+#: Bytes of text that a task works on at once: each takes some 40 bytes of arrays.
+SEGMENT = 4 << 20
 #: What each distinct byte of a context gives to the escape.
 DISCOUNT = 0.3
 #: Bytes that can come next: all but six kinds of white space, a blank and the end mark.
@@ -113,7 +115,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     if not 1 <= order <= 6:
         raise ValueError("order is 1 to 6")
     width = 8 * (order + 1)
-    segments = segmented(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "text")
+    segments = segmented(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "text", SEGMENT)
     bits = message_buckets(segments)
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int64()), ("v", pa.binary()), ("n", pa.binary())])
     reply = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int64()), ("v", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())])

@@ -14,6 +14,7 @@ from corvane.llm.pieces import op2_sentencepiece
 from corvane.llm.ppm import op1_ppm
 from corvane.llm.simhash import op8_simhash
 from corvane.llm.substring import op5_substring
+from corvane.llm.token_files import op9_token_files
 from corvane.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_token_files": op9_token_files,
     "op10_ann": op10_ann,
 }
 

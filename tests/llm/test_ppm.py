@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from corvane.llm import ppm, segments
+from corvane.llm import ppm
 
 
 class Trie:
@@ -61,9 +61,7 @@ def base(rows):
 
 @pytest.mark.parametrize("order", [2, 5, 6])
 def test_against_a_plain_trie(spark, monkeypatch, order):
-    from functools import partial
-
-    monkeypatch.setattr(ppm, "segmented", partial(segments.segmented, size=300))
+    monkeypatch.setattr(ppm, "SEGMENT", 300)
     texts = ["the cat sat", "The CAT sat on the mat", "", None, " \n", "a", "émile où", "the the the the", "zzz qqq", "b " * 400, "x" * 700, "on\tthe\rmat ", "the cat sat"] * 2
     rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, learn boolean, train int").repartition(3)
