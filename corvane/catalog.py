@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corvane.plans import chunk_queries, event_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401  they register their queries
+from corvane.plans.registry import ORACLE_SQL, QUERIES, Tables
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ranked, budgeted context for ten questions."""
+    return retrieval_queries.ranked_context(Tables(spark, sf_dir))
