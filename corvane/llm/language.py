@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import fold, read
+from corvane.llm.common import fold, give_back, read
 
 #: Rows of each language that are learnt from, at most; languages, by rows, that are told apart, at most; hash buckets.
 PER_LANGUAGE, LANGUAGES, BUCKETS = 800, 64, 8192
@@ -170,6 +170,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
                     for i, name in zip(rows, found, strict=True):
                         pred[i] = name
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "lang_score"])
+        give_back()
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)

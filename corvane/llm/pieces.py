@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import read
+from corvane.llm.common import give_back, read
 
 #: Entries of one task's table of chunks.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 200_000
 _MARK = "▁"
 #: Two white-space characters together, or one at an end, or a character that this module uses itself.
 _UNEVEN = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]\Z")
@@ -159,6 +159,8 @@ def encode_pieces(
                 if decoded:
                     columns.append(pa.array([table.library.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, *([decoded] if decoded else [])])
+        del table
+        give_back()
 
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType(kept + added))
 

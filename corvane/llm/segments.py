@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import new_path
+from corvane.llm.common import give_back, new_path
 
 SEG = "__segment"
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 U = np.uint64
 
 
@@ -43,6 +43,7 @@ def segmented(docs: DataFrame, text: str, size: int = SEGMENT_BYTES) -> DataFram
             before = done + np.cumsum(n) - n
             done += int(n.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + before // size)], names=[*names, SEG])
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(SEG, T.LongType(), False)])
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"corvane_{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import read, written
+from corvane.llm.common import give_back, read, written
 from corvane.llm.components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
         for batch in batches:
             fp = [fingerprint(x.as_py(), words, seed) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+        give_back()
 
     return out.mapInArrow(run, f"doc_id {out.schema['doc_id'].dataType.simpleString()}, fp long")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import read
+from corvane.llm.common import give_back, read
 from corvane.llm.segments import SEG, U, Words, find, message, message_buckets, mixed, pack, pack_sorted, segmented, unpack, unpack_sorted
 
 #: Leading bits of a ten-word window's hash that are exchanged. More bits would only spare needless candidates.
@@ -190,8 +190,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
         np.subtract.at(cover, first[gone] + window, 1)
         keep = np.cumsum(cover[:-1]) == 0
         left = np.diff(np.concatenate([[0], np.cumsum(keep)])[w.words.before])
-        table = table.set_column(table.column_names.index(text), text, pa.array(w.words.kept(keep), pa.string())).drop_columns([SEG])
-        return table.append_column("__words", pa.array(w.words.count.astype(np.int64))).append_column("__removed", pa.array((w.words.count - left).astype(np.int64)))
+        kept, n_words = w.words.kept(keep), w.words.count.astype(np.int64)
+        del w, h, more, order, same
+        give_back()
+        table = table.set_column(table.column_names.index(text), text, pa.array(kept, pa.string())).drop_columns([SEG])
+        return table.append_column("__words", pa.array(n_words)).append_column("__removed", pa.array(n_words - left))
 
     if window % 2:
         raise ValueError("a window is an even number of words")
