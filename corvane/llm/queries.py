@@ -13,7 +13,7 @@ from corvane.llm.mixing import op7_mixing
 from corvane.llm.pieces import op2_sentencepiece
 from corvane.llm.ppm import op1_ppm
 from corvane.llm.simhash import op8_simhash
-from corvane.llm.substring import op5_substring
+from corvane.llm.substring import OP5_SQL, op5_substring
 from corvane.llm.token_files import op9_token_files
 from corvane.llm.toxicity import op6_toxicity
 
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": OP3_SQL,
+    "op5_substring": OP5_SQL,
 }
