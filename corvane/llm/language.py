@@ -4,7 +4,8 @@ Features are hashed byte trigrams of the whole text, other characters than
 letters read as blanks, as square roots of their shares. Linear support vector
 machines, one for each pair of families and one for each pair of languages of a
 family, are fitted on the driver to a bounded sample: of each language the
-``PER_LANGUAGE`` labelled rows of smallest id hash. Everything is predicted.
+``PER_LANGUAGE`` labelled rows of smallest id hash, at most a sixteenth of them
+from any of 64 parts by hash. Everything is predicted.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import fold, give_back, read
 
 #: Rows of each language that are learnt from, at most; languages, by rows, that are told apart, at most; hash buckets.
-PER_LANGUAGE, LANGUAGES, BUCKETS = 800, 64, 8192
+PER_LANGUAGE, LANGUAGES, BUCKETS = 400, 64, 4096
 UNKNOWN = "und"
 #: Languages closely related to each other. A language not named here is a family of its own.
 FAMILIES = {
@@ -56,7 +57,7 @@ def features(text: str) -> np.ndarray:
     for at in range(0, len(a) - 2, 1 << 20):
         b = a[at : at + (1 << 20) + 2]
         h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-        out += np.bincount(h >> np.uint32(19), minlength=BUCKETS)
+        out += np.bincount(h >> np.uint32(20), minlength=BUCKETS)
     total = out.sum()
     return np.sqrt(out / total) if total else out
 
@@ -125,8 +126,11 @@ def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
     """Machines fitted to a bounded sample of the rows that have a language; None if there are none."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     h = F.xxhash64(F.col(id_col))
+    # First within parts of a language, so that a language that most rows have is no single task's.
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    some = known.select(F.col(lang).alias("lang"), h.alias("h")).withColumn("n", F.row_number().over(parts)).where(F.col("n") <= PER_LANGUAGE // 16)
     order = Window.partitionBy("lang").orderBy("h")
-    least = known.select(F.col(lang).alias("lang"), h.alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
+    least = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
     most = {r.lang: (r.n, r.h) for r in least.groupBy("lang").agg(F.max("n").alias("n"), F.max("h").alias("h")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not most:
         return None
@@ -140,7 +144,12 @@ def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
 
     rows = known.where(chosen).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "h long, lang string, x binary").limit(PER_LANGUAGE * LANGUAGES).collect()
     rows.sort(key=lambda r: (r.lang, r.h, r.x))
-    return Languages(np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32), [r.lang for r in rows])
+    x, names = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32), [r.lang for r in rows]
+    del rows
+    model = Languages(x, names)
+    del x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
