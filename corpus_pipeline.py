@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import fold, read, written
 from corvane.llm.language import UNKNOWN, identify
 from corvane.llm.mixing import mix, words
+from corvane.llm.near_copies import drop_near_copies
 from corvane.llm.pieces import encode_pieces
-from corvane.llm.simhash import drop_near_duplicates
 from corvane.llm.substring import deduplicate
 
 #: A document whose language is less sure than this is rejected.
@@ -35,8 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the smallest id."""
-    return drop_near_duplicates(docs)
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id."""
+    return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
