@@ -5,7 +5,8 @@ letters read as blanks, as square roots of their shares. Linear support vector
 machines, one for each pair of families and one for each pair of languages of a
 family, are fitted on the driver to a bounded sample: of each language the
 ``PER_LANGUAGE`` labelled rows of smallest id hash, at most a sixteenth of them
-from any of 64 parts by hash. Everything is predicted.
+from any of 64 parts by hash. Every language is learnt: where there are more
+than ``ROWS`` hold, each has fewer rows. Everything is predicted.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import fold, give_back, read
 
-#: Rows of each language that are learnt from, at most; languages, by rows, that are told apart, at most; hash buckets.
-PER_LANGUAGE, LANGUAGES, BUCKETS = 400, 64, 4096
+#: Rows of each language that are learnt from, at most; rows of all languages (one of each at least); hash buckets.
+PER_LANGUAGE, ROWS, BUCKETS = 400, 25_600, 4096
 UNKNOWN = "und"
 #: Languages closely related to each other. A language not named here is a family of its own.
 FAMILIES = {
@@ -130,19 +131,25 @@ def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
     parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     some = known.select(F.col(lang).alias("lang"), h.alias("h")).withColumn("n", F.row_number().over(parts)).where(F.col("n") <= PER_LANGUAGE // 16)
     order = Window.partitionBy("lang").orderBy("h")
-    least = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
-    most = {r.lang: (r.n, r.h) for r in least.groupBy("lang").agg(F.max("n").alias("n"), F.max("h").alias("h")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    ranked = some.withColumn("n", F.row_number().over(order))
+
+    def tops(per: int) -> list:
+        return ranked.where(F.col("n") <= per).groupBy("lang").agg(F.max("h").alias("top")).collect()
+
+    most = tops(PER_LANGUAGE)
     if not most:
         return None
-    chosen = F.lit(False)
-    for name, (_, top) in most.items():
-        chosen = chosen | ((F.col(lang) == name) & (h <= F.lit(top)))
+    if len(most) * PER_LANGUAGE > ROWS:
+        most = tops(max(1, ROWS // len(most)))
+    # One row of two values for each language is broadcast.
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.top) for r in most], "lang string, top long"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x.as_py()).astype(np.float16).tobytes() for x in batch.column(2)], pa.binary())], names=["h", "lang", "x"])
 
-    rows = known.where(chosen).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "h long, lang string, x binary").limit(PER_LANGUAGE * LANGUAGES).collect()
+    sample = known.select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, "lang").where("h <= top").select("h", "lang", "text")
+    rows = sample.mapInArrow(run, "h long, lang string, x binary").limit(max(ROWS, len(most))).collect()
     rows.sort(key=lambda r: (r.lang, r.h, r.x))
     x, names = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32), [r.lang for r in rows]
     del rows

@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from corvane.llm import language
 
 
@@ -25,3 +29,14 @@ def test_odd_rows(spark):
     assert language.identify(df.limit(0), df.doc_id >= 0).count() == 0
     one = language.identify(df.where("lang = 'de'"), df.doc_id < 100).collect()
     assert {r.lang_pred for r in one} == {"de", "und"}
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(8)
+    names = sorted(n for some in language.FAMILIES.values() for n in some.split())
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(25)] for n in names}
+    rows = [(i * len(names) + k, " ".join(rng.choice(words[n]) for _ in range(60)), n) for i in range(7) for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.identify(docs, F.col("doc_id") >= len(names)).where(F.col("doc_id") < len(names)).collect()
+    assert len(names) > 64 and len(got) == len(names)
+    assert [(r.lang, r.lang_pred) for r in got if r.lang != r.lang_pred] == []
