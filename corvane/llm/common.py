@@ -22,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a folder of our own is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only on one machine, where
+    that is unset (tests), a folder of our own is made; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -61,6 +63,12 @@ def fold(id_column: str | Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
 
-def ascii_lower(column: Column) -> Column:
-    """Lower-cases A-Z alone."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

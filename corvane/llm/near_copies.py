@@ -1,14 +1,18 @@
-"""Near copies of documents by MinHash bands, verified by the exact similarity of their shingle sets.
+"""Near copies of documents: SimHash tables, then MinHash bands, verified by the exact similarity of shingle sets.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. Each text has 200 minimal hashes in 40 bands of five;
-a pair at 0.8 shares no band with a chance of 1e-7, and less above. Texts of the
-same set are one class from then on, so thousands of copies are one row. Classes
-that share a band are candidates. Components need no pair whose ends are
-connected already, so a band's classes are first compared with one of them, then,
-in further rounds, with another one, and at last every pair of a band that is
-still in different components is compared: a large group costs rows in
-proportion, and no link between components is left out.
+shingles is 0.8 or more. Texts of the same set are one class from then on, so
+thousands of copies are one row. Candidates come in two steps. First the
+multi-index tables of ``simhash``: classes whose fingerprints are at two bits or
+fewer. At a similarity of 0.8 two fingerprints of 64 bits differ in ten bits, so
+these tables alone miss most links; tables that found them would take some ten
+thousand probes a document. So each text also has 200 minimal hashes in 40 bands
+of five; a pair at 0.8 shares no band with a chance of 1e-7, and less above.
+Components need no pair whose ends are connected already, so a band's classes
+are first compared with one of them, then, in further rounds, with another one,
+and at last every pair of a band that is still in different components is
+compared: a large group costs rows in proportion, and no link between components
+is left out. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import give_back, written
 from corvane.llm.components import components
+from corvane.llm.simhash import fold_bits, links, one_of_each
 
 #: Bands, minimal hashes in a band, and rounds of comparing a band with one of its classes at most.
 BANDS, DEEP, ROUNDS = 40, 5, 4
@@ -36,11 +41,16 @@ _MIX = _rng.integers(0, 1 << 63, (1, DEEP), np.uint64) | np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles of a text; a text of fewer words is one shingle, one of none has none."""
+def all_shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, repeats included; a text of fewer words is one shingle, one of none has none."""
     w = (text or "").encode().lower().split()
     some = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
+    return np.unique(all_shingles(text, words))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -60,16 +70,18 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, cls, bands) of each row."""
+    """(doc_id, cls, fp, bands) of each row: its class, the fingerprint of its shingles, and its bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column(1)]
+            every = [all_shingles(x.as_py(), words) for x in batch.column(1)]
+            fp = [fold_bits(h) for h in every]
+            sets = [np.unique(h) for h in every]
             keys = [bands(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "fp", "bands"])
         give_back()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -100,11 +112,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, root) of the classes that are connected over pairs of a band (key, cls) that are alike."""
-    found = tested = members.select(F.col("cls").alias("u"), F.col("cls").alias("v")).where("false")
-    rooted = members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).where("false")
-    mixed = members.withColumn("root", F.col("cls"))
+def _close_prints(classes: DataFrame) -> DataFrame:
+    """(u, v): each class beside the first of its fingerprint, and the first ones of fingerprints that the SimHash tables link."""
+    first = classes.groupBy("fp").agg(F.min("cls").alias("first"))
+    same = classes.join(first, "fp").where("cls <> first").select(F.col("first").alias("u"), F.col("cls").alias("v"))
+    linked = links(first.select("fp"))
+    a, b = first.select(F.col("fp").alias("u"), F.col("first").alias("x")), first.select(F.col("fp").alias("v"), F.col("first").alias("y"))
+    return same.union(linked.join(a, "u").join(b, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+
+
+def _links(members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the classes that are connected over pairs of ``near`` (u, v) or of a band (key, cls) that are alike."""
+    tested = near
+    found = written(_verified(near, sets, least), "print-links")
+    rooted = written(components(found), "roots")
+    mixed = _mixed(members, rooted)
+    if mixed.isEmpty():
+        return rooted
     for n in range(ROUNDS):
         lead = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(n)).alias("h"), "cls", "root")).alias("lead"))
         star = mixed.join(lead, "key").where(F.col("root") != F.col("lead.root")).select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v")).distinct()
@@ -135,11 +159,11 @@ def _mixed(members: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, cls, component_id): one row for each row of ``docs``.
+    """(doc_id, cls, root, component_id): one row for each row of ``docs``.
 
     component_id is the smallest id among the documents reachable over links,
     the row's own included; texts without words are copies of each other.
-    ``cls`` tells texts of different shingle sets apart. A null id never becomes
+    ``cls`` tells texts of different shingle sets apart, ``root`` components. A null id never becomes
     a component_id; a component of such rows alone has none. ``least`` is 0.8 or
     more: below, the bands would miss pairs.
     """
@@ -147,37 +171,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
         raise ValueError("bands are made for 0.8 and more")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     prints = written(_sketches(texts, words), "sketches")
-    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    # Texts of one set may repeat shingles unlike, so a class takes one of its fingerprints.
+    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = written(classes, "copy-classes")
     rows = classes.select("cls", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(rows.join(shared, "key", "left_semi").select("key", "cls"), "band-members")
-    asked = classes.join(members.select("cls").distinct(), "cls", "left_semi").where("least IS NOT NULL").select(F.col("least").alias("doc_id")).distinct()
+    near = written(_close_prints(classes.where("bands IS NOT NULL").select("cls", "fp")).distinct(), "close-prints")
+    met = members.select("cls").union(near.select("u")).union(near.select("v")).distinct()
+    asked = classes.join(met, "cls", "left_semi").where("least IS NOT NULL").select(F.col("least").alias("doc_id")).distinct()
     few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     some = texts.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").select("text").union(texts.where("doc_id IS NULL").select("text"))
     sets = written(_sets(some, words).groupBy("cls").agg(F.first("set").alias("set")), "shingle-sets")
-    rooted = _links(members, sets, least)
+    rooted = _links(members, near, sets, least)
     named = classes.join(rooted, classes.cls == rooted.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     linked = named.where("root <> cls").select("root").distinct()
     groups = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("reached"))
-    named = named.join(groups, "root", "left").select("cls", F.coalesce("reached", "least").alias("component_id"))
-    return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "cls", "component_id")
+    named = named.join(groups, "root", "left").select("cls", "root", F.coalesce("reached", "least").alias("component_id"))
+    return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "cls", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it.
+    """``docs`` with one row of each component: one of those whose id names it, of the smallest class.
 
-    Of rows that repeat that id one stays. Rows without an id stay if their
-    component has no row with one.
+    Rows are told apart by id and class, so of rows that share an id but not a
+    text each is judged by its own text. A component of rows without an id keeps
+    one of them. An empty table stays empty; all columns are kept as they are.
     """
-    found = near_copies(docs.select(id_col, text), id_col, text, words, least)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = docs.join(stay.where("n = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    again = docs.join(stay.where("n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    out = once.union(again)
-    lone = docs.where(F.col(id_col).isNull())
-    if not lone.isEmpty():
-        held = found.where("component_id IS NULL").select(F.col("cls").alias("__cls")).distinct()
-        hashed = lone.withColumn("__cls", F.udf(lambda t: class_of(shingles(t, words)), "long")(text))
-        out = out.union(hashed.join(held, "__cls", "left_semi").drop("__cls").select(docs.columns))
-    return out.select(docs.columns)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return one_of_each(docs, near_copies(texts, "doc_id", "text", words, least), id_col, text, "cls", lambda t: class_of(shingles(t, words)))

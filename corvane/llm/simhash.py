@@ -14,7 +14,7 @@ table finds. Keys of 48 bits keep buckets near the size of the true links.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import give_back, read, written
+from corvane.llm.common import fresh, give_back, read, written
 from corvane.llm.components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -34,7 +35,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The fingerprint of a text as a signed 64-bit integer; 0 if it has no words."""
     w = (text or "").encode().lower().split()
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+    return fold_bits(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64))
+
+
+def fold_bits(h: np.ndarray) -> int:
+    """The bits set in over half of some hashes, as a signed 64-bit integer; 0 for no hashes."""
     if not len(h):
         return 0
     counts = np.zeros(2048, np.int64)
@@ -86,33 +91,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component_id; a component of such rows alone has none. Other columns are not
     read.
     """
-    prints = written(fingerprints(docs, id_col, text, words, seed), "fingerprints")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return _found(texts, words, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _found(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each row."""
+    prints = written(fingerprints(texts, "doc_id", "text", words, seed), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     rooted = components(links(classes.select("fp")))
     named = classes.join(rooted, classes.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.where("root <> fp").select("root").distinct()
     groups = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("reached"))
-    named = named.join(groups, "root", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(groups, "root", "left").select("fp", "root", F.coalesce("reached", "least").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text: str, kind: str, kind_of: Callable[[str | None], int]) -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, ``kind``, root, component_id).
+
+    The row kept has the id that names the component and, of the kinds of text
+    that stand under this id there, the smallest; if rows repeat both, one stays.
+    A component without ids keeps one row of its smallest kind. ``kind_of`` gives
+    a text's kind as found; it is worked out again only for ids that stay and
+    stand in several rows.
+    """
+    found = written(found, "found")
+    kept, wants, sort = fresh(docs.columns, "__stay", "__least", "__kind")
+    mine, names_it = F.col(f"`{id_col}`"), F.col("doc_id") == F.col("component_id")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(names_it).alias("stays")).where("stays")
+    once = docs.join(ids.where("n = 1").select(F.col("doc_id").alias(kept)), mine == F.col(kept), "left_semi")
+    named = found.where(names_it | F.col("component_id").isNull()).groupBy("root", F.col("component_id").alias(kept)).agg(F.min(kind).alias(wants))
+    several = ids.where("n > 1").select(F.col("doc_id").alias(kept))
+    wanted = named.join(several, kept, "left_semi").select(kept, wants).union(named.where(F.col(kept).isNull()).select(kept, wants))
+    wanted = written(wanted, "wanted")
+    names, at = docs.columns, docs.columns.index(text)
+
+    def kinds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([kind_of(x.as_py()) for x in batch.column(at)], pa.int64())], names=[*names, sort])
+
+    some = docs.join(wanted.select(kept).distinct(), mine.eqNullSafe(F.col(kept)), "left_semi")
+    typed = some.mapInArrow(kinds, T.StructType([*docs.schema.fields, T.StructField(sort, T.LongType())]))
+    again = typed.join(wanted, mine.eqNullSafe(F.col(kept)) & (F.col(sort) == F.col(wants)), "left_semi")
+    # Of rows that repeat id and kind one stays: a combined aggregate over whole rows.
+    first = again.groupBy(mine.alias("i"), F.col(sort).alias("k")).agg(F.first(F.struct(*[F.col(f"`{n}`") for n in names])).alias("row"))
+    return once.union(first.select("row.*"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each component: one of those whose id names it, of the smallest fingerprint.
 
-    Of rows that repeat that id one stays. Rows without an id stay if their
-    component has no row with one.
+    Rows are told apart by id and fingerprint, so of rows that share an id but
+    not a text each is judged by its own text. A component of rows without an id
+    keeps one of them. An empty table stays empty; all columns are kept.
     """
-    found = near_duplicates(docs.select(id_col, text), id_col, text)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = docs.join(stay.where("n = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    again = docs.join(stay.where("n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    out = once.union(again)
-    lone = docs.where(F.col(id_col).isNull())
-    if not lone.isEmpty():
-        held = found.where("component_id IS NULL").select(F.col("fingerprint").alias("__fingerprint")).distinct()
-        hashed = lone.withColumn("__fingerprint", F.lower(F.lpad(F.hex(F.udf(fingerprint, "long")(text)), 16, "0")))
-        out = out.union(hashed.join(held, "__fingerprint", "left_semi").drop("__fingerprint").select(docs.columns))
-    return out.select(docs.columns)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = _found(texts, words, seed)
+    return one_of_each(docs, found, id_col, text, "fp", lambda t: fingerprint(t, words, seed))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from corvane.llm import near_copies
+from corvane.llm import near_copies, simhash
 
 
 def shingled(text):
@@ -72,3 +72,20 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((r.doc_id for r in near_copies.drop_near_copies(docs).collect()), key=str) == sorted([4, 7, 11, None], key=str)
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    rows = [(1, words("a")), (7, words("b")), (7, words("c")), (8, words("a") + " more"), (8, words("d")), (9, words("d")), (9, words("d")), (None, words("e")), (None, words("e")), (None, words("c"))]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, cls string, root int").repartition(3)
+    kept = near_copies.drop_near_copies(docs).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("1", "a"), ("7", "b"), ("7", "c"), ("8", "d"), ("None", "e")]
+
+
+def test_simhash_tables_alone_would_miss_most_links(spark):
+    rows = planted()
+    prints = {i: simhash.fingerprint(t, 5) & 0xFFFFFFFFFFFFFFFF for i, t in rows}
+    sets = {i: shingled(t) for i, t in rows}
+    alike_pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    close = sum((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in alike_pairs)
+    assert 0 < close < 0.3 * len(alike_pairs)

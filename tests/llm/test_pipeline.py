@@ -2,7 +2,7 @@ import hashlib
 
 import sentencepiece
 import test_mixing
-import test_simhash
+import test_near_copies
 import test_substring
 
 import corpus_pipeline as cp
@@ -20,8 +20,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     rows = [{r.doc_id: r for r in d.collect()} for d in kept[:4]]
     assert set(rows[1]) <= set(rows[0]) and len(rows[1]) >= 0.97 * len(rows[0])
     assert all(rows[1][i].text == rows[0][i].text for i in rows[1])
-    roots = test_simhash.roots([(i, r.text) for i, r in rows[1].items()])
-    assert sorted(rows[2]) == sorted(d for (_, d), _, c in roots if d == c)
+    assert sorted(rows[2]) == test_near_copies.kept([(i, r.text) for i, r in rows[1].items()])
     assert {i: r.text for i, r in rows[3].items()} == {i: t for i, _, _, t in test_substring.brute([(i, r.text) for i, r in rows[2].items()])}
     assert all(r.n_chars == len(r.text) for r in rows[3].values())
     by, taken = {}, {}
@@ -31,8 +30,9 @@ def test_stages_against_plain_versions(spark, sf_dir):
         assert r.text == rows[3][r.doc_id].text
         taken[r.source] = taken.get(r.source, 0) + len(r.text.encode().split())
     want = test_mixing.goals(by)
-    # Sources of a handful of documents can't be met exactly by whole copies.
-    off = {s: (taken.get(s, 0), want[s]) for s in by if abs(taken.get(s, 0) - want[s]) > max(60, 0.2 * want[s])}
+    # Sources of fewer than ten documents can't be met exactly by whole copies; the others are met to 2 %.
+    rows_of = {s: sum(r.source == s for r in rows[3].values()) for s in by}
+    off = {s: (taken.get(s, 0), want[s]) for s in by if rows_of[s] >= 10 and abs(taken.get(s, 0) - want[s]) > max(60, 0.02 * want[s])}
     assert not off
     assert max(r["count"] for r in kept[4].groupBy("doc_id").count().collect()) <= 2
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())

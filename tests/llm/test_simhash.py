@@ -45,10 +45,18 @@ def test_odd_rows(spark):
     assert sorted((((r.doc_id is None, r.doc_id), r.fingerprint, r.component_id) for r in got), key=str) == sorted(roots(rows), key=str)
     kept = simhash.drop_near_duplicates(docs).collect()
     named = {d for (_, d), _, c in roots(rows) if d == c}
-    assert sorted((r.doc_id for r in kept), key=str) == sorted([*named, None], key=str)
+    assert None in named and sorted((r.doc_id for r in kept), key=str) == sorted(named, key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    rows = [(1, words("a")), (7, words("b")), (7, words("c")), (8, words("a")), (8, words("d")), (9, words("d")), (9, words("d")), (None, words("e")), (None, words("e")), (None, words("c"))]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, __kind string, n int").repartition(3)
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("1", "a"), ("7", "b"), ("7", "c"), ("8", "d"), ("None", "e")]
+
+
 def test_links_between_planted_fingerprints(spark):
     rng = random.Random(1)
     fps = set()
