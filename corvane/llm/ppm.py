@@ -16,7 +16,9 @@ Every context's bytes also followed its shorter suffix. So the bytes excluded
 after an escape are those of the context just left, and what they weigh one
 level below is a sum over a join of two levels of the trie. The trie is rows,
 one for each context and byte, worked out level by level in SQL, never gathered.
-A segment asks only for the probabilities of its own distinct byte sequences.
+A unit of documents asks only for the probabilities of its own distinct byte
+sequences. Sequences are exchanged as they are, words by 63 bits of their XXH3
+hash: among ten billion distinct words five pairs share one by chance.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import fold, read, written
-from corvane.llm.segments import SEG, U, Words, cut, find, message_buckets, pack, pack_sorted, segmented, unpack, unpack_sorted
+from corvane.llm.segments import U, Units, Words, find, message, pack, slices, table_of, unpack, unpack_sorted
 
 #: Bytes of the longest context; at most 6, for a sequence and one bit to fit 64 bits.
 ORDER = 5
@@ -75,6 +77,15 @@ def _distinct(values: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.n
     return key[first], np.diff(ones[np.append(first, len(v))])
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and the sums of their numbers, of parts (values, numbers)."""
+    v, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, (U, np.int64)[i]) for i in (0, 1))
+    order = np.argsort(v, kind="stable")
+    v = v[order]
+    first = np.nonzero(np.diff(v, prepend=~v[:1]))[0]
+    return v[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _levels(grams: DataFrame, order: int) -> DataFrame:
     """key, bucket and the natural logarithm ``lp`` of each sequence's last byte's probability after the rest."""
     sums = [grams]
@@ -113,81 +124,85 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     if not 1 <= order <= 6:
         raise ValueError("order is 1 to 6")
     width = 8 * (order + 1)
-    segments = segmented(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "text")
-    bits = message_buckets(segments)
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int64()), ("v", pa.binary()), ("n", pa.binary())])
-    reply = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int64()), ("v", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())])
+    units = Units(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "text")
+    bits = units.bits
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("unit", pa.int64()), ("v", pa.binary()), ("n", pa.binary())])
+    reply = pa.schema([*schema, ("words", pa.int64()), ("tokens", pa.int64())])
 
     def sent(table: pa.Table) -> pa.Table:
-        seg, learn = table.column(SEG)[0].as_py(), np.array(table.column("train"), bool)
-        w = Words(table.column("text").to_pylist(), lower=True)
-        out = []
-        words, n = _distinct(w.hashes() >> U(1), np.repeat(learn, w.count).astype(U))
-        out += [(0, i, seg, pack_sorted(words[s]), pack(n[s])) for i, s in cut(words, bits, 63)]
-        key, size = _gathered(w, order)
-        grams, n = _distinct(_spread(key, order), np.repeat(learn, size).astype(U))
-        out += [(1, i, seg, pack_sorted(grams[s]), pack(n[s])) for i, s in cut(grams, bits, width)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = np.concatenate([unpack_sorted(b) for b in table.column("v").to_pylist()])
-        n = np.concatenate([unpack(b) for b in table.column("n").to_pylist()]).astype(np.int64)
-        order_ = np.argsort(v, kind="stable")
-        first = np.nonzero(np.diff(v[order_], prepend=~v[order_[:1]]))[0]
-        return v, v[order_][first], np.add.reduceat(n[order_], first)
+        unit, words, grams = table.column("unit")[0].as_py(), [], []
+        for batch in slices(table):
+            learn = np.array(batch.column("train"), bool)
+            w = Words(batch.column("text").to_pylist(), lower=True)
+            code, low, _ = w.hashes()
+            words.append((low >> U(1), np.bincount(code, np.repeat(learn, w.count), len(low)).astype(np.int64)))
+            key, size = _gathered(w, order)
+            grams.append(_distinct(_spread(key, order), np.repeat(learn, size).astype(U)))
+            del w, key
+            if sum(len(v) for v, _ in grams) > 4_000_000:
+                grams = [_summed(grams)]
+        out = [(0, *row) for row in message(unit, bits, *_summed(words), width=63)]
+        out += [(1, *row) for row in message(unit, bits, *_summed(grams), width=width)]
+        return table_of(out, schema)
+
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _summed([(unpack_sorted(v), unpack(n).astype(np.int64)) for v, n in zip(table.column("v").to_pylist(), table.column("n").to_pylist(), strict=True)])
 
     def counted(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        _, distinct, n = merged(table)
-        out = [(0, bucket, seg, pack(n[np.searchsorted(distinct, unpack_sorted(b))]), 0, 0) for seg, b in zip(table.column("seg").to_pylist(), table.column("v").to_pylist(), strict=True)]
-        out.append((0, bucket, -1, b"", int((n > 0).sum()), int(n.sum())))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), reply, strict=True)], schema=reply)
+        distinct, n = merged(table)
+        out = [(0, bucket, unit, b, pack(n[np.searchsorted(distinct, unpack_sorted(b))]), 0, 0) for unit, b in zip(table.column("unit").to_pylist(), table.column("v").to_pylist(), strict=True)]
+        return table_of([*out, (0, bucket, -1, b"", b"", int((n > 0).sum()), int(n.sum()))], reply)
 
     def learnt(table: pa.Table) -> pa.Table:
-        _, distinct, n = merged(table)
+        distinct, n = merged(table)
         keys = (distinct * U(pow(_ODD, -1, 1 << 64))) & U((1 << width) - 1)
         return pa.table({"key": keys.astype(np.int64), "n": n, "bucket": pa.array(np.full(len(n), table.column("bucket")[0].as_py()), pa.int32())})
 
     def answered(table: pa.Table, trie: pa.Table) -> pa.Table:
-        v, lp = _spread(trie.column("key").to_numpy().astype(U), order), trie.column("lp").to_numpy().astype(np.float32)
+        v, lp = _spread(trie.column("key").to_numpy().astype(U), order), trie.column("lp").to_numpy()
         by = np.argsort(v)
-        v, lp = v[by], lp[by]
-        out = [(1, b, seg, lp[np.searchsorted(v, unpack_sorted(x))].tobytes(), 0, 0) for b, seg, x in zip(*(table.column(c).to_pylist() for c in ("bucket", "seg", "v")), strict=True)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), reply, strict=True)], schema=reply)
+        v, lp = v[by], np.ascontiguousarray(lp[by]).view(U)
+        return table_of([(1, b, unit, x, pack(lp[np.searchsorted(v, unpack_sorted(x))]), 0, 0) for b, unit, x in zip(*(table.column(c).to_pylist() for c in ("bucket", "unit", "v")), strict=True)], reply)
 
-    names = "kind int, bucket int, seg long, v binary, n binary"
-    replies = "kind int, bucket int, seg long, v binary, words long, tokens long"
-    messages = written(segments.groupBy(SEG).applyInArrow(sent, names), "messages")
+    names = "kind int, bucket int, unit long, v binary, n binary"
+    replies = f"{names}, words long, tokens long"
+    messages = written(units.grouped().applyInArrow(sent, names), "messages")
     counts = written(messages.where("kind = 0").groupBy("bucket").applyInArrow(counted, replies), "counts")
     grams = written(messages.where("kind = 1").groupBy("bucket").applyInArrow(learnt, "key long, n long, bucket int"), "grams")
     trie = _levels(grams, order)
     chances = messages.where("kind = 1").groupBy("bucket").cogroup(trie.groupBy("bucket")).applyInArrow(answered, replies)
-    texts = segments.where("train").count()
-    seen = counts.where("seg = -1").agg(F.sum("words"), F.sum("tokens")).first()
+    texts = docs.where(F.coalesce(train, F.lit(False))).count()
+    seen = counts.where("unit = -1").agg(F.sum("words"), F.sum("tokens")).first()
     total, kinds = (seen[1] or 0) + texts, (seen[0] or 0) + (texts > 0)
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
-        learn = table.column("train")
-        w = Words(table.column("text").to_pylist(), lower=True)
-        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "v")), strict=True))
-        h = w.hashes() >> U(1)
-        words = np.unique(h)
-        n = np.concatenate([unpack(b) for k, _, b in got if k == 0] or [np.zeros(0, U)]).astype(np.float64)
-        c = n[find(words << U(1), h << U(1))]
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "v", "n")), strict=True))
+        del answers
+        # Buckets are leading bits, so their values in order of buckets ascend.
+        words, grams = (np.concatenate([unpack_sorted(v) for k, _, v, _ in got if k == kind] or [np.zeros(0, U)]) for kind in (0, 1))
+        known_n, lp = (np.concatenate([unpack(n) for k, _, _, n in got if k == kind] or [np.zeros(0, U)]) for kind in (0, 1))
+        del got
+        known_n, lp, grams = known_n.astype(np.float64), lp.view(np.float64), grams << U(64 - width)
         add = lambda x, size: np.diff(np.concatenate([[0.0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
         floor = np.log10(total + 0.5 * (kinds + 1))
-        base = add(np.log10(c + 0.5) - floor, w.count) + (np.log10(texts + 0.5) - floor)
-        known = add((c > 0).astype(np.float64), w.count).astype(np.int64) + (texts > 0)
-        key, size = _gathered(w, order)
-        key = _spread(key, order) << U(64 - width)
-        lp = np.concatenate([np.frombuffer(b, np.float32) for k, _, b in got if k == 1])
-        model = add(lp[find(np.unique(key), key)].astype(np.float64), size) / np.log(10)
-        n_tokens = (w.count + 1).astype(np.int64)
-        return pa.table({"doc_id": table.column("doc_id"), "train": learn, "n_tokens": n_tokens, "n_known": known, "train_tokens": pa.array(np.full(len(n_tokens), total), pa.int64()), "base_score": base, "score": model})
-
-    kind = segments.schema["doc_id"].dataType.simpleString()
-    answers = counts.where("seg >= 0").union(chances)
-    return segments.groupBy(SEG).cogroup(answers.groupBy("seg")).applyInArrow(scored, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        out = []
+        for batch in slices(table):
+            w = Words(batch.column("text").to_pylist(), lower=True)
+            code, low, _ = w.hashes()
+            c = known_n[np.searchsorted(words, low >> U(1))][code] if len(low) else np.zeros(0)
+            base = add(np.log10(c + 0.5) - floor, w.count) + (np.log10(texts + 0.5) - floor)
+            known = add((c > 0).astype(np.float64), w.count).astype(np.int64) + (texts > 0)
+            key, size = _gathered(w, order)
+            model = add(lp[find(grams, _spread(key, order) << U(64 - width))], size) / np.log(10)
+            n_tokens = (w.count + 1).astype(np.int64)
+            out.append(pa.table({"doc_id": batch.column("doc_id"), "train": batch.column("train"), "n_tokens": n_tokens, "n_known": known, "train_tokens": pa.array(np.full(len(n_tokens), total), pa.int64()), "base_score": base, "score": model}))
+            del w, key, c
+        return pa.concat_tables(out)
+
+    kind = units.schema["doc_id"].dataType.simpleString()
+    answers = counts.where("unit >= 0").union(chances)
+    return units.grouped().cogroup(units.answers(answers)).applyInArrow(scored, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 import math
 import zlib
 from collections import Counter, defaultdict
-from functools import partial
 
 import pytest
 
@@ -62,7 +61,8 @@ def base(rows):
 
 @pytest.mark.parametrize("order", [2, 5, 6])
 def test_against_a_plain_trie(spark, monkeypatch, order):
-    monkeypatch.setattr(ppm, "segmented", partial(segments.segmented, size=300))
+    monkeypatch.setattr(segments, "SLICE_BYTES", 300)
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 500)
     texts = ["the cat sat", "The CAT sat on the mat", "", None, " \n", "a", "émile où", "the the the the", "zzz qqq", "b " * 400, "x" * 700, "on\tthe\rmat ", "the cat sat"] * 2
     rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, learn boolean, train int").repartition(3)

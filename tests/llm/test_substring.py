@@ -46,9 +46,9 @@ def test_planted_repeats_over_many_segments(spark, monkeypatch):
             words += [word() for _ in range(rng.randrange(60))] + rng.choice(shared)
         rows.append((i, rng.choice([" ", "\n", " \t "]).join(words)))
     rows += [(500, None), (501, ""), (502, " \n "), (503, " ".join(shared[0] * 3)), (504, "same " * 45), (600, rows[3][1]), (None, rows[4][1]), (2, "a b"), (700, "long " * 20_000 + "end")]
-    from functools import partial
-
-    monkeypatch.setattr(substring, "segmented", partial(segments.segmented, size=2000))
+    
+    monkeypatch.setattr(segments, "SLICE_BYTES", 700)
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 1000)
     assert run(spark, rows) == brute(rows)
 
 
