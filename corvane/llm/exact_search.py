@@ -1,12 +1,15 @@
 """Exact top-k by integer inner product, block at a time.
 
-Each component is a term, floor(256 x) its weight. Rows, as stored, form blocks
+Each component is a term, floor(256 x) its weight. Rows, put in order of the
+closest of some sampled rows so that a block holds like rows, form blocks
 (document ranges); a block holds its forward index, a matrix of weights, and the
 largest and least weight of each term. For a query, the sum over terms of what a
-block's extreme weight can give bounds every score in the block. A task takes
-its blocks in falling order of that bound, scores a block through its forward
-index, and leaves a query's remaining blocks once their bound is below the k-th
-best score; a bound equal to it is still scored, because ties go to smaller ids.
+block's extreme weight can give bounds every score in the block. A query's bar is
+the k-th best score among the sampled rows, and rises as blocks are scored. Each
+query's block of the highest bound goes first; then blocks go in falling order of
+their bounds, each scored through its forward index for those queries whose bound
+reaches their bar; a bound equal to it is still scored, because ties go to
+smaller ids.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import read, written
 from corvane.llm.topk import Best, finite, matrices, passes, queries_in_groups, ranked
 
-#: Rows of a block, and blocks that a task holds at once.
-BLOCK_ROWS, BLOCKS = 512, 128
+#: Rows of a block, blocks that a task holds at once, and rows that the order and the first bars come from, at most.
+BLOCK_ROWS, BLOCKS, SAMPLE_ROWS = 64, 512, 1024
 _EXACT = float(1 << 53)
 
 
@@ -38,8 +41,45 @@ def _product(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return q @ d.T
 
 
-def blocks(vectors: DataFrame, id_col: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def sampled(vectors: DataFrame, id_col: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, weights) by length of vectors of at most SAMPLE_ROWS rows: those of the smallest hashes."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("i", "v"), "i").limit(SAMPLE_ROWS).collect()
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r.i):
+        out.setdefault(len(r.v), []).append(r)
+    return {d: (np.array([r.i for r in some]), weights(np.array([r.v for r in some]).reshape(len(some), d))) for d, some in out.items()}
+
+
+def neighbours_together(w: np.ndarray) -> np.ndarray:
+    """An order of rows in which like rows stand together: halves by the line between two far rows, halved again."""
+    out, todo = [], [np.arange(len(w))]
+    while todo:
+        rows = todo.pop()
+        x = w[rows].astype(np.float64)
+        far = x[((x - x.mean(0)) ** 2).sum(1).argmax()] if len(rows) > 2 else None
+        other = x[((x - far) ** 2).sum(1).argmax()] if far is not None else None
+        along = x @ (far - other) if far is not None else None
+        if along is None or not along.max() > along.min():
+            out.append(rows)
+            continue
+        order = np.argsort(-along, kind="stable")
+        todo += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def blocks(vectors: DataFrame, id_col: str, vector: str, sample: dict, rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per block: length of the vectors, ids, forward index, largest and least weights."""
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast({d: w[neighbours_together(w)].astype(np.float64) for d, (_, w) in sample.items()})
+    valid = vectors.where(F.col(id_col).isNotNull() & finite(vector)).select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                for ids, m in matrices(whole.slice(at, 4096)):
+                    c = shared.value.get(m.shape[1])
+                    place = ((c**2).sum(1) - 2 * (256 * m @ c.T)).argmin(1) if c is not None and m.shape[1] else np.zeros(len(m), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(list(m), pa.list_(pa.float64())), pa.array(place, pa.int64())], names=["i", "v", "near"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -50,41 +90,65 @@ def blocks(vectors: DataFrame, id_col: str, vector: str, rows: int = BLOCK_ROWS)
                     high, low = (x(w, axis=0).astype(np.int64).tobytes() for x in (np.max, np.min))
                     yield pa.RecordBatch.from_arrays([pa.array([w.shape[1]], pa.int32()), pa.array([w.dtype.itemsize], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), w.tobytes(), high, low))], names=["dim", "width", "ids", "index", "high", "low"])
 
-    valid = vectors.where(F.col(id_col).isNotNull() & finite(vector)).select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>"))
-    return valid.mapInArrow(run, "dim int, width int, ids binary, index binary, high binary, low binary")
+    parts = max(8, 2 * spark.sparkContext.defaultParallelism)
+    # Rows beside one sampled row may be many, so the range goes by their ids too.
+    placed = valid.mapInArrow(near, "i long, v array<double>, near long").repartitionByRange(parts, F.size("v"), "near", "i").sortWithinPartitions(F.size("v"), "near", "i")
+    return placed.select("i", "v").mapInArrow(run, "dim int, width int, ids binary, index binary, high binary, low binary")
+
 
+def _bars(q_ids: np.ndarray, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray] | None, k: int) -> np.ndarray:
+    """The k-th best score of each query among the sampled rows; the least value where there are fewer."""
+    bars = np.full(len(q), np.iinfo(np.int64).min)
+    if sample is None or len(sample[0]) <= k:
+        return bars
+    ids, w = sample
+    for at in range(0, len(q), 4096):
+        some = slice(at, at + 4096)
+        scores = _product(q[some], w)
+        scores[q_ids[some][:, None] == ids] = np.iinfo(np.int64).min
+        bars[some] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return bars
 
-def _scored(held: list, best: Best, q_ids: np.ndarray, q: np.ndarray) -> None:
-    """Offers the held blocks (ids, index, high, low) to all queries, each in its own order of bounds."""
+
+def _scored(held: list, best: Best, q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray) -> int:
+    """Offers the held blocks (ids, index, high, low) to the queries whose bounds reach their bars; returns how many (query, block) were scored."""
     high, low = np.stack([b[2] for b in held]).astype(np.float64), np.stack([b[3] for b in held]).astype(np.float64)
-    qf = q.astype(np.float64)
-    # Beyond 2^53 a bound in floating point may be low; the margin covers its rounding.
-    bound = np.maximum(qf, 0) @ high.T + np.minimum(qf, 0) @ low.T
-    bound += np.abs(bound) * 1e-9
-    order = np.argsort(-bound, axis=1, kind="stable")
-    active = np.arange(len(q))
-    for step in range(len(held)):
-        at = order[active, step]
-        active = active[bound[active, at] >= best.worst()[active]]
-        if not len(active):
-            return
-        at = order[active, step]
-        for b in np.unique(at):
-            rows, (ids, index, *_) = active[at == b], held[b]
-            scores, own = _product(q[rows], index.astype(np.int64)), q_ids[rows][:, None] == ids
-            best.push(rows, scores, ids, own if own.any() else None)
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", query_bytes: int = 32 << 20) -> DataFrame:
+    done = 0
+    for begin in range(0, len(q), 4096):
+        mine = np.arange(begin, min(begin + 4096, len(q)))
+        qf = q[mine].astype(np.float64)
+        # Beyond 2^53 a bound in floating point may be low; the margin covers its rounding.
+        bound = np.maximum(qf, 0) @ high.T + np.minimum(qf, 0) @ low.T
+        bound += np.abs(bound) * 1e-9
+        first = bound.argmax(1)
+        order = np.argsort(-bound.max(0), kind="stable")
+        for step, numbers in ((0, np.unique(first)), (1, order)):
+            for b in numbers:
+                rows = first == b if step == 0 else (first != b)
+                rows = np.nonzero(rows & (bound[:, b] >= np.maximum(best.worst()[mine], bars[mine])))[0]
+                if not len(rows):
+                    continue
+                ids, index, *_ = held[b]
+                own = q_ids[mine[rows]][:, None] == ids
+                best.push(mine[rows], _product(q[mine[rows]], index.astype(np.int64)), ids, own if own.any() else None)
+                done += len(rows)
+    return done
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", query_bytes: int = 32 << 20, tally: tuple | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest integer inner products of each query.
 
     Ties go to the smaller id. A row with the query's own id is no candidate of
     it. Null ids, null vectors and vectors with null or non-finite components
     take no part; vectors of unlike length don't meet. Of repeated rows each is
-    a candidate, and each a query, of its own. Other columns are not read.
+    a candidate, and each a query, of its own. Other columns are not read. An
+    empty table gives no rows. ``tally``: two accumulators, for the (query,
+    block) pairs there are and those that are scored.
     """
     spark = vectors.sparkSession
-    index = written(blocks(vectors, id_col, vector), "blocks")
+    sample = sampled(vectors.where(F.col(id_col).isNotNull() & finite(vector)), id_col, vector)
+    first = spark.sparkContext.broadcast(sample)
+    index = written(blocks(vectors, id_col, vector, sample), "blocks")
     schema = "query_no long, query_id long, vec_id long, score long"
 
     def one(group: list) -> DataFrame:
@@ -96,7 +160,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                 by_dim.setdefault(w.shape[1], []).append((no + np.arange(len(ids)), ids, w))
             asked = {d: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for d, v in by_dim.items()}
             best = {d: Best(len(v[0]), k, np.int64) for d, v in asked.items()}
+            bars = {d: _bars(v[1], v[2], first.value.get(d), k) for d, v in asked.items()}
             held: dict[int, list] = {d: [] for d in asked}
+
+            def score(d: int) -> None:
+                done = _scored(held[d], best[d], *asked[d][1:], bars[d])
+                if tally:
+                    tally[0].add(len(asked[d][1]) * len(held[d]))
+                    tally[1].add(done)
+                held[d] = []
+
             for batch in batches:
                 for dim, width, *raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                     if dim not in asked:
@@ -104,11 +177,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                     ids = np.frombuffer(raw[0], np.int64)
                     held[dim].append((ids, np.frombuffer(raw[1], np.int16 if width == 2 else np.int64).reshape(len(ids), dim), np.frombuffer(raw[2], np.int64), np.frombuffer(raw[3], np.int64)))
                     if len(held[dim]) >= BLOCKS:
-                        _scored(held.pop(dim), best[dim], *asked[dim][1:])
-                        held[dim] = []
-            for d, (no, q_ids, q) in asked.items():
+                        score(dim)
+            for d, (no, q_ids, _) in asked.items():
                 if held[d]:
-                    _scored(held[d], best[d], q_ids, q)
+                    score(d)
                 at, ids, scores = best[d].found()
                 yield pa.RecordBatch.from_arrays([pa.array(no[at]), pa.array(q_ids[at]), pa.array(ids), pa.array(scores)], names=["query_no", "query_id", "vec_id", "score"])
 

@@ -4,15 +4,14 @@ Features are hashed byte trigrams of the whole text, other characters than
 letters read as blanks, as square roots of their shares. Linear support vector
 machines, one for each pair of families and one for each pair of languages of a
 family, are fitted on the driver to a bounded sample: of each language the
-``PER_LANGUAGE`` labelled rows of smallest id hash, at most a sixteenth of them
-from any of 64 parts by hash. Every language is learnt: where there are more
+``PER_LANGUAGE`` different labelled rows of smallest hash, at most a sixteenth of
+them from any of 64 parts by hash. Every language is learnt: where there are more
 than ``ROWS`` hold, each has fewer rows. Everything is predicted.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -43,13 +42,17 @@ FAMILIES = {
     "sinitic": "zh yue wuu",
 }
 _FAMILY = {x: f for f, names in FAMILIES.items() for x in names.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _READ = np.full(256, 32, np.uint8)
 _READ[97:123] = np.arange(97, 123)
 _READ[65:91] = np.arange(97, 123)
 _READ[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (category L); digits, number signs and marks are none."""
+    return text is not None and (text.isalpha() or any(map(str.isalpha, text)))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of hashed byte trigrams; no trigrams, no features."""
     out = np.zeros(BUCKETS, np.float32)
@@ -126,10 +129,10 @@ class Languages:
 def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
     """Machines fitted to a bounded sample of the rows that have a language; None if there are none."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    h = F.xxhash64(F.col(id_col))
-    # First within parts of a language, so that a language that most rows have is no single task's.
+    h = F.xxhash64(F.col(id_col), F.col(text))
+    # Repeated rows count once. First within parts of a language, so that a language that most rows have is no single task's.
     parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    some = known.select(F.col(lang).alias("lang"), h.alias("h")).withColumn("n", F.row_number().over(parts)).where(F.col("n") <= PER_LANGUAGE // 16)
+    some = known.select(F.col(lang).alias("lang"), h.alias("h")).distinct().withColumn("n", F.row_number().over(parts)).where(F.col("n") <= PER_LANGUAGE // 16)
     order = Window.partitionBy("lang").orderBy("h")
     ranked = some.withColumn("n", F.row_number().over(order))
 
@@ -148,8 +151,8 @@ def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x.as_py()).astype(np.float16).tobytes() for x in batch.column(2)], pa.binary())], names=["h", "lang", "x"])
 
-    sample = known.select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, "lang").where("h <= top").select("h", "lang", "text")
-    rows = sample.mapInArrow(run, "h long, lang string, x binary").limit(max(ROWS, len(most))).collect()
+    sample = known.select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, "lang").where("h <= top").groupBy("h", "lang").agg(F.first("text").alias("text"))
+    rows = sample.mapInArrow(run, "h long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, r.h, r.x))
     x, names = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32), [r.lang for r in rows]
     del rows
@@ -159,8 +162,8 @@ def fit(docs: DataFrame, id_col: str, text: str, lang: str) -> Languages | None:
     return model
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``, 0 to 1.
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with columns ``pred`` and ``score``, 0 to 1.
 
     Learns from the rows for which ``learn`` holds and whose language and text
     are not null; the language, and all other columns than the text, are no
@@ -169,7 +172,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
     their number and their other columns; columns of the two names are replaced.
     """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs.where(learn), id_col, text, lang))
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
+    kept = [f for f in docs.schema.fields if f.name not in (pred, score)]
     names = [f.name for f in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,17 +181,17 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = batch.column(names.index(text)).to_pylist()
-                rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                rows = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+                said, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if rows:
                     found, p = model.predict(np.stack([features(texts[i]) for i in rows]))
-                    score[rows] = p
+                    sure[rows] = p
                     for i, name in zip(rows, found, strict=True):
-                        pred[i] = name
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "lang_score"])
+                        said[i] = name
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=[*names, pred, score])
         give_back()
 
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
 
 

@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, read, shared_dir, written
+from corvane.llm.common import WORD, fresh, read, shared_dir, written
 
 ROUNDS, CLOSE = 60, 1e-9
-#: Single documents by which a source may be mended.
-MENDS = 4
+#: Rounds of mending by single documents, at most; each source is done when no document brings it closer.
+MENDS = 40
 #: Parts into which the documents of one source and size are dealt before they are numbered.
 PARTS = 64
 _UNIT = 1_000_000
@@ -37,21 +37,29 @@ def targets(counts: DataFrame, weights: tuple[int, ...], share: float, cap: floa
 
     Sources in code-point order, null last, take the weights in turn. A target
     stops at ``cap`` times the source's size and the excess goes to the others
-    by weight until none is above: every other target is then one level times
-    its weight, found from sums over sources in order of cap over weight.
+    by weight until none is above: with the level that the others have for each
+    unit of weight, sources above their caps are capped, which raises the level,
+    until no further one is above. No window spans all sources: places come from
+    ranges of sources and the sources before each range.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
     sized = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    named = sized.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    below, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    total = F.sum("source_size").over(every) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(rest)
-    first = F.min(F.when(F.col("cap") > F.col("step") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("step").alias("step")))).over(every)["step"]
-    free = named.withColumn("step", level).withColumn("level", first)
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return free.select("source", "source_size", target.alias("target"), "cap")
+    ranged = written(sized.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()), "sources")
+    here = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source"))
+    # A row for each range, of which there are as many as shuffle partitions.
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = ranged.withColumn("here", here).join(before.select("part", "before"), "part").withColumn("place", F.col("before") + F.col("here") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    named = place.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("cap")).checkpoint()
+    total = (named.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") <= F.lit(level) * F.col("weight")
+        r = named.agg(F.count_if(above), F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight")))).first()
+        if r[0] == capped or not r[2]:
+            break
+        capped, level = r[0], (total - (r[1] or 0.0)) / r[2]
+    target = F.when(F.col("cap") <= F.lit(level) * F.col("weight"), F.col("cap")).otherwise(F.lit(level) * F.col("weight"))
+    return named.select("source", "source_size", target.alias("target"), "cap")
 
 
 def tilts(counts: DataFrame, goals: DataFrame) -> DataFrame:
@@ -97,38 +105,41 @@ def copies_by_size(counts: DataFrame, goals: DataFrame) -> DataFrame:
         o, r = out.alias("o"), left.alias("r")
         fits = o.join(r, F.col("o.source").eqNullSafe(F.col("r.source"))).select("o.*", "left").where(((F.col("left") > 0) & (F.col("taken") < 2 * F.col("n"))) | ((F.col("left") < 0) & (F.col("taken") > 0)))
         off = F.abs(F.abs(F.col("left")) - F.col("size"))
-        best = fits.where(off < F.abs(F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", F.signum("left").cast("long").alias("by"))).alias("b")).select(F.col("source").alias("s"), F.col("b.size").alias("z"), "b.by")
+        best = fits.where(off < F.abs(F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", F.signum("left").cast("long").alias("by"))).alias("b")).select(F.col("source").alias("s"), F.col("b.size").alias("z"), "b.by").checkpoint()
+        if best.isEmpty():
+            break
         mended = out.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
         out = mended.select("source", "size", "n", "target", (F.col("taken") + F.coalesce("by", F.lit(0))).alias("taken")).checkpoint()
     return out.select("source", "size", "n", "taken")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source: str = "source", size: str | Column = "size") -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``, 0 to 2, how often the mix takes the row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source: str = "source", size: str | Column = "size", names: tuple[str, str, str, str] = ("__size", "__source_size", "__target", "__copies")) -> DataFrame:
+    """``docs`` with the columns ``names``: size, its source's size and target, and copies, 0 to 2, how often the mix takes the row.
 
     ``size`` is a column of token counts; null counts as 0. A row of size 0 is
     never taken. A null source is a source of its own, the last. Which of the
     documents of one source and size get the odd copy follows a hash of the id,
     so reruns agree; rows that repeat an id there are interchangeable. An empty
-    table gives an empty table.
+    table gives an empty table. Columns of the names are replaced.
     """
     shared_dir(docs.sparkSession)
+    z, part, number, s_, z_, p_, before_, n_, taken_ = fresh([*docs.columns, *names], "z", "part", "number", "s", "z_of", "p_of", "before", "n", "taken")
+    kept = [c for c in docs.columns if c not in names]
     sized = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0)).cast("long")
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS))
-    rows = docs.withColumns({"__size": sized, "__part": part})
-    parts = written(rows.groupBy(F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__part").alias("part")).agg(F.count("*").alias("m")), "sizes")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], sized.alias(z), F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS)).alias(part))
+    parts = written(rows.groupBy(F.col(source).alias("source"), F.col(z).alias("size"), F.col(part).alias("part")).agg(F.count("*").alias("m")), "sizes")
     counts = parts.groupBy("source", "size").agg(F.sum("m").alias("n")).checkpoint()
     goals = targets(counts, weights, share, cap).checkpoint()
     taken = copies_by_size(counts, goals)
     before = F.sum("m").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     p, t, g = parts.withColumn("before", F.coalesce(before, F.lit(0))).alias("p"), taken.alias("t"), goals.alias("g")
     dealt = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.size") == F.col("t.size")), "left").join(F.broadcast(g) if goals.limit(10_001).count() <= 10_000 else g, F.col("p.source").eqNullSafe(F.col("g.source")))
-    dealt = dealt.select(F.col("p.source").alias("__s"), F.col("p.size").alias("__z"), F.col("p.part").alias("__p"), F.col("before").alias("__before"), F.col("n").alias("__n"), F.col("taken").alias("__taken"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    number = F.row_number().over(Window.partitionBy(source, "__size", "__part").orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)))
-    numbered = rows.withColumn("__number", number).join(dealt, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__part") == F.col("__p")))
-    odd = (F.col("__before") + F.col("__number") <= F.col("__taken") % F.col("__n")).cast("long")
-    copies = F.coalesce(F.expr("__taken div __n") + odd, F.lit(0))
-    return numbered.withColumn("__copies", copies).select(*docs.columns, "__size", "__source_size", "__target", "__copies")
+    dealt = dealt.select(F.col("p.source").alias(s_), F.col("p.size").alias(z_), F.col("p.part").alias(p_), F.col("before").alias(before_), F.col("n").alias(n_), F.col("taken").alias(taken_), F.col("source_size").alias(names[1]), F.col("target").alias(names[2]))
+    numbers = F.row_number().over(Window.partitionBy(source, z, part).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)))
+    numbered = rows.withColumn(number, numbers).join(dealt, F.col(source).eqNullSafe(F.col(s_)) & (F.col(z) == F.col(z_)) & (F.col(part) == F.col(p_)))
+    odd = (F.col(before_) + F.col(number) <= F.col(taken_) % F.col(n_)).cast("long")
+    copies = F.coalesce(F.floor(F.col(taken_) / F.col(n_)).cast("long") + odd, F.lit(0))
+    return numbered.select(*[F.col(f"`{c}`") for c in kept], F.col(z).alias(names[0]), names[1], names[2], copies.alias(names[3]))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

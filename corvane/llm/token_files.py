@@ -1,13 +1,12 @@
 """Token ids in files of fixed-width bit packing.
 
-Encoding. Where no two white-space characters touch, byte-level pieces never
-cross a blank or a line feed, so each task encodes a distinct chunk once and
-joins the ids back by position; other texts are encoded whole. The vocabulary
-and merges are those of the tokenizers library's file. Its own encoder takes
-about a second a MB and core, so chunks go through tiktoken with the same
-merges, which gives the same ids; each task holds its first text against the
-tokenizers library and fails if they differ, and texts that hold a special
-token go to that library.
+Encoding. A byte-level piece never crosses from a character that is no white
+space to one that is. So where no two white-space characters touch, each worker
+has the tokenizers library encode a distinct chunk (a word with the blank before
+it) once, many in one call, and joins the ids back by position; chunks are told
+apart by their bytes. Texts where white space touches, or that hold a special
+token, are encoded whole. The table of chunks lives as long as the worker and is
+emptied when it is full, which costs time and changes no result.
 
 Files. Ids of ascending documents follow one another, each in the fewest bits
 that hold the vocabulary, least significant bit first, in blocks of 65 536 ids
@@ -18,29 +17,26 @@ or few blocks, which numpy unpacks at once.
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import new_path, read, written
+from corvane.llm.common import give_back, new_path, open_path, read, written
 from corvane.llm.segments import U, _runs, _STEP, _VALUE, mixed
 
-#: Ids of a block, bytes of text of a shard, of one piece of a task's work, and entries of a task's table of chunks.
-BLOCK, SHARD_BYTES, PIECE_BYTES, TABLE_ENTRIES = 65_536, 24 << 20, 3 << 20, 2_000_000
+#: Ids of a block, bytes of text of a shard, quantiles of ids that are asked for, bytes of one piece of a task's work, and entries of a worker's table of chunks.
+BLOCK, SHARD_BYTES, QUANTILES, PIECE_BYTES, TABLE_ENTRIES = 65_536, 24 << 20, 4096, 3 << 20, 1_500_000
 _HEAD = struct.Struct("<4sIIIQQQ")
 _MAGIC = b"CVTI"
-#: How byte-level text is cut into pieces before merging; a fixed value of the vocabulary's format.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TOUCHING = re.compile(r"\s\s|^\s|\s\Z")
 _NONE = np.iinfo(np.int64).min
 
@@ -51,77 +47,85 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_characters() -> dict[str, int]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 class Encoder:
     """Ids of texts, each distinct chunk encoded once."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path) as f:
-            told = json.load(f)
-        byte = _byte_characters()
-        special = {t["content"] for t in told.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in special}
-        self.chunks = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.feed = self.chunks.encode_ordinary("\n")[0]
-        self.entries, self.checked = entries, False
+        feed = self._ids("\n")
+        if len(feed) != 1 or self._ids("a\nb") != self._ids("a") + feed + self._ids("b"):
+            raise ValueError("this vocabulary joins line feeds to what stands beside them")
+        self.feed, self.entries = feed[0], entries
         self.clear()
 
-    def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, U), np.zeros(0, np.int64)
-        self.starts, self.sizes, self.ids, self.used, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _add(self, keys: np.ndarray, chunks: list[bytes], after_feed: np.ndarray) -> np.ndarray:
-        """Encodes new chunks, which hold no line feed; returns their rows."""
-        flat = np.array(self.chunks.encode_ordinary(b"\n".join([*chunks, b""]).decode()), np.uint32)
+    def clear(self) -> None:
+        """Empties the table: sorted keys and their rows; for each row where its ids and its bytes begin, and how many there are."""
+        self.keys, self.rows, self.n = np.zeros(0, U), np.zeros(0, np.int32), 0
+        self.at = {name: np.zeros(1 << 12, np.int64) for name in ("ids", "bytes")}
+        self.size = {name: np.zeros(1 << 12, np.int32) for name in ("ids", "bytes")}
+        self.store, self.used = {"ids": np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32), "bytes": np.zeros(1 << 16, np.uint8)}, {"ids": 0, "bytes": 0}
+
+    def _put(self, name: str, flat: np.ndarray, size: np.ndarray) -> None:
+        """Appends what new rows hold."""
+        n, used = self.n, self.used[name]
+        while n + len(size) > len(self.at[name]):
+            self.at[name], self.size[name] = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at[name], self.size[name]))
+        while used + len(flat) > len(self.store[name]):
+            self.store[name] = np.concatenate([self.store[name], np.zeros_like(self.store[name])])
+        self.store[name][used : used + len(flat)] = flat
+        self.at[name][n : n + len(size)] = used + np.cumsum(size) - size
+        self.size[name][n : n + len(size)] = size
+        self.used[name] = used + len(flat)
+
+    def _add(self, keys: np.ndarray, words: list[bytes], kind: np.ndarray) -> np.ndarray:
+        """Encodes new chunks (words without a line feed; kind 0: as they are, 1: after a blank, 2: after a line feed); returns their rows."""
+        text = "\n".join([(" " if k == 1 else "") + w.decode() for w, k in zip(words, kind.tolist(), strict=True)] + [""])
+        flat = np.array(self._ids(text), self.store["ids"].dtype)
+        after = (kind == 2).astype(np.int64)
         ends = np.nonzero(flat == self.feed)[0]
         size = np.diff(ends, prepend=-1) - 1
-        # After a line feed a chunk's ids begin with the feed's.
-        shift = np.cumsum(after_feed)
-        total = int(size.sum() + after_feed.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        own = np.ones(len(flat), bool)
-        own[ends] = False
-        start = np.cumsum(size) - size + shift - after_feed
-        space = self.ids[self.used : self.used + total]
-        space[start[after_feed > 0]] = self.feed
-        spot = np.repeat(start + after_feed - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        space[spot] = flat[own]
+        if len(size) != len(words):
+            raise ValueError("a chunk's ids hold a line feed's")
+        # After a line feed a chunk's ids begin with the feed's, which stands before each chunk but the first.
+        whole = np.concatenate([np.array([self.feed], flat.dtype), flat])
+        begin = ends - size + 1 - after
+        length = size + after
+        own = whole[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
         row = self.n + np.arange(len(keys))
-        self.starts, self.sizes = np.concatenate([self.starts[: self.n], start + self.used]), np.concatenate([self.sizes[: self.n], size + after_feed])
-        self.used, self.n = self.used + total, self.n + len(keys)
+        self._put("ids", own, length)
+        self._put("bytes", np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
+        self.n += len(keys)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, row)
         return row
 
-    def _even(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and how many each text has, of texts in which no two white-space characters touch."""
+    def _even(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, how many each text has, and whether it has to be encoded whole, of texts in which no two white-space characters touch."""
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
         length = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         blank = (data == 32) | (data == 10)
         edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
         start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-        begins = np.cumsum(length) - length
         feed = np.where(start > 0, data[start - 1] == 10, True)
         first = np.zeros(len(data) + 1, bool)
-        first[begins] = True
-        first = first[start]
-        kind = np.where(first, 0, np.where(feed, 2, 1)).astype(U)
-        key = mixed(_runs(_VALUE[data], start, end, _STEP) + (end - start).astype(U)) ^ (kind * U(0x9E3779B97F4A7C15))
-        distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first[np.cumsum(length) - length] = True
+        kind = np.where(first[start], 0, np.where(feed, 2, 1))
+        # Keys that are quick to get find a row; the row's bytes then decide.
+        key = mixed(_runs(_VALUE[data], start, end, _STEP) + (end - start).astype(U)) ^ (kind.astype(U) * U(0x9E3779B97F4A7C15))
+        code, distinct = pd.factorize(key)
+        some = np.empty(len(distinct), np.int64)
+        some[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        order = np.argsort(distinct)
+        distinct, some = distinct[order], some[order]
         spot = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = spot < len(self.keys)
@@ -130,47 +134,57 @@ class Encoder:
         row[known] = self.rows[spot[known]]
         new = np.nonzero(~known)[0]
         if len(new):
-            w = at[new]
             joined = data.tobytes()
-            row[new] = self._add(distinct[new], [joined[a:b] for a, b in zip((start[w] - (kind[w] == 1)).tolist(), end[w].tolist(), strict=True)], (kind[w] == 2).astype(np.int64))
-        row = row[inverse]
-        size = self.sizes[row]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.starts[row] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            row[new] = self._add(distinct[new], [joined[a:b] for a, b in zip(start[some[new]].tolist(), end[some[new]].tolist(), strict=True)], kind[some[new]])
+        back = np.empty(len(order), np.int64)
+        back[order] = row
+        row = back[code]
         words = np.searchsorted(start, np.cumsum(length))
-        return flat, np.diff(np.concatenate([[0], ends])[words], prepend=0)
+        length_of = end - start
+        off = self.size["bytes"][row] != length_of
+        if len(row):
+            spots = np.nonzero(~blank)[0]
+            # Words of another length than their row's are compared with the row's first byte, and count as unlike anyway.
+            unlike = data[spots] != self.store["bytes"][np.where(np.repeat(off, length_of), 0, spots + np.repeat(self.at["bytes"][row] - start, length_of))]
+            if unlike.any():
+                off |= np.add.reduceat(unlike, np.cumsum(length_of) - length_of) > 0
+        whole = np.diff(np.concatenate([[0], np.cumsum(off)])[words], prepend=0) > 0
+        size = self.size["ids"][row].astype(np.int64)
+        ends = np.cumsum(size)
+        flat = self.store["ids"][np.repeat(self.at["ids"][row] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return flat, np.diff(np.concatenate([[0], ends])[words], prepend=0), whole
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and how many each text has."""
         if self.n > self.entries:
             self.clear()
-        even, whole = [], {}
+        even, apart = [], []
         for i, t in enumerate(texts):
-            if t and self.special and self.special.search(t):
-                whole[i] = self.library.encode(t, add_special_tokens=False).ids
-            elif t and _TOUCHING.search(t):
-                whole[i] = self.chunks.encode_ordinary(t)
-            else:
-                even.append(i)
-        flat, size = self._even([(texts[i] or "").encode() for i in even])
+            (apart if t and ((self.special and self.special.search(t)) or _TOUCHING.search(t)) else even).append(i)
+        flat, size, whole = self._even([(texts[i] or "").encode() for i in even])
+        apart += [even[k] for k in np.nonzero(whole)[0].tolist()]
         n = np.zeros(len(texts), np.int64)
         n[even] = size
-        if whole:
-            parts, at = [], np.concatenate([[0], np.cumsum(size)])
-            place = dict(zip(even, range(len(even)), strict=True))
+        if apart:
+            parts, at, place = [], np.concatenate([[0], np.cumsum(size)]), dict(zip(even, range(len(even)), strict=True))
+            said = {i: np.array(e.ids, np.uint32) for i, e in zip(apart, self.library.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False), strict=True)}
             for i in range(len(texts)):
-                parts.append(np.array(whole[i], np.uint32) if i in whole else flat[at[place[i]] : at[place[i] + 1]])
+                parts.append(said[i] if i in said else flat[at[place[i]] : at[place[i] + 1]])
                 n[i] = len(parts[-1])
             flat = np.concatenate(parts)
-        if not self.checked and len(flat):
-            i = int(np.nonzero(n)[0][0])
-            begin = int(n[:i].sum())
-            if flat[begin : begin + n[i]].tolist() != self.library.encode(texts[i], add_special_tokens=False).ids:
-                raise ValueError("chunk encoding differs from the tokenizers library")
-            self.checked = True
         return flat, n
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder for a vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """Ids of ``width`` bits, least significant bit first."""
     if width in (8, 16, 32):
@@ -185,12 +199,6 @@ def unpack_bits(data: bytes, width: int, n: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """A path's file system: a URI of any kind that pyarrow knows, or a local path."""
-    path = re.sub(r"^file:/+", "/", path)
-    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
-
-
 def shard_bytes(doc_ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, width: int) -> bytes:
     blocks = [pack_bits(flat[a : a + BLOCK], width) for a in range(0, len(flat), BLOCK)]
     begin = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
@@ -204,7 +212,7 @@ class Shard:
     """A file's index, and its documents by position."""
 
     def __init__(self, path: str):
-        fs, name = _open(path)
+        fs, name = open_path(path)
         self.file = fs.open_input_file(name)
         magic, _, self.width, self.block, docs, self.n, blocks = _HEAD.unpack(self.file.read_at(_HEAD.size, 0))
         if magic != _MAGIC:
@@ -240,19 +248,24 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end: in
     pairs = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
     size = pairs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-size // shard))
-    cuts = np.array(sorted(set(pairs.where("i IS NOT NULL").approxQuantile("i", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else [], np.int64)
-    fs, place = _open(path)
+    cuts = np.zeros(0, np.int64)
+    if shards > 1:
+        # The sketch of quantiles stays small however many shards there are; between two quantiles ids are cut evenly.
+        steps = min(shards, QUANTILES)
+        marks = pairs.where("i IS NOT NULL").approxQuantile("i", [k / steps for k in range(steps + 1)], 0.1 / steps)
+        cuts = np.unique(np.interp(np.arange(1, shards) * (steps / shards), np.arange(len(marks)), marks).astype(np.int64)) if marks else cuts
+    fs, place = open_path(path)
     fs.create_dir(place, recursive=True)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = Encoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        known, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = np.array(pa.compute.fill_null(batch.column(0), _NONE), np.int64)
             length = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64)
             piece = (np.cumsum(length) - length) // PIECE_BYTES
             for p in np.unique(piece):
                 rows = np.nonzero(piece == p)[0]
-                flat, n = encoder.encode(batch.column(1).slice(rows[0], len(rows)).to_pylist())
+                flat, n = known.encode(batch.column(1).slice(rows[0], len(rows)).to_pylist())
                 flat = np.insert(flat, np.cumsum(n), end).astype("<u4" if width > 16 else "<u2")
                 n = n + 1
                 begin = np.concatenate([[0], np.cumsum(n)])
@@ -272,7 +285,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end: in
             order = np.array(sorted(range(len(doc)), key=lambda k: (doc[k], flat[begin[k] : begin[k] + n[k]].astype(">u4").tobytes())))
         flat = flat[np.repeat(begin[order] - (np.cumsum(n[order]) - n[order]), n[order]) + np.arange(len(flat))]
         name = f"shard-{number:08d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.ids"
-        fs, place = _open(path)
+        fs, place = open_path(path)
         with fs.open_output_stream(f"{place}/{name}") as f:
             f.write(shard_bytes(doc[order], n[order], flat, width))
         return pa.table({"shard": pa.array([number], pa.int32()), "file": [f"{path}/{name}"], "docs": [len(doc)], "ids": [len(flat)]})

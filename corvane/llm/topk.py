@@ -77,7 +77,7 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def queries_in_groups(queries: DataFrame, id_col: str, vector: str, most: int = QUERY_BYTES) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The queries as (first number, ids, matrix), in groups of bounded size, streamed to the driver one partition at a time.
+    """The queries as (first number, ids, matrix), in groups of bounded size, as stored, streamed to the driver one partition at a time.
 
     What stands on the driver and is broadcast at once is at most ``most`` bytes
     and one batch of 2048 queries, however many queries there are.

@@ -40,3 +40,40 @@ def test_every_language_is_learnt(spark):
     got = language.identify(docs, F.col("doc_id") >= len(names)).where(F.col("doc_id") < len(names)).collect()
     assert len(names) > 64 and len(got) == len(names)
     assert [(r.lang, r.lang_pred) for r in got if r.lang != r.lang_pred] == []
+
+
+def test_letters():
+    assert not any(map(language.has_letter, [None, "", "²½", "Ⅷ", "①②", "12 _!", "\u0301"]))
+    assert all(map(language.has_letter, ["a", "1a", "é", "ж", "日", "ʰ", "ª"]))
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, "das haus und der garten mit", "de")] * 500 + [(i, f"the house and the garden with number {i}", "en") for i in range(2, 30)]
+    rows += [(None, f"das haus und der hof {i}", "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = [sorted(map(tuple, language.identify(df, F.lit(True)).select("lang", "lang_pred", "lang_score").collect())) for _ in range(2)]
+    assert got[0] == got[1] and all(a == b for a, b, _ in got[0])
+
+
+def test_machines_vote_as_plain_loops_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    names = [n for n in ("en", "de", "fr", "es", "xx") for _ in range(12)]
+    x = rng.normal(size=(len(names), 6)).astype(np.float32) + np.repeat(np.eye(5, 6, dtype=np.float32) * 4, 12, axis=0)
+    model = language.Languages(x, names)
+    got, score = model.predict(x)
+
+    def best(members, pairs, begin, row):
+        margins = [float(row @ model.weights[:-1, begin + k] + model.weights[-1, begin + k]) for k in range(len(pairs))]
+        wins = [0.0] * len(members)
+        for (i, j), m in zip(pairs, margins, strict=True):
+            wins[i] += (m >= 0) + 1e-3 * np.tanh(m)
+            wins[j] += (m < 0) - 1e-3 * np.tanh(m)
+        return members[int(np.argmax(wins))]
+
+    for r in range(len(names)):
+        family = best(model.families, model.first, 0, x[r])
+        begin, pairs = model.second[family]
+        assert got[r] == best(model.members[family], pairs, begin, x[r]) and 0 <= score[r] <= 1
+    assert sum(a == b for a, b in zip(got, names, strict=True)) >= 0.95 * len(names)

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from corvane.llm import ppm, substring
 from corvane.llm import token_files as tf
+from corvane.llm.segments import Words
 
 TEXTS = [None, "", " ", "\n", "abc", " abc", "a  b", "a\nb c\nd", "it's we'll 'tis", "tab\there", "émigré 日本語 😀\n12 345", "x <|endoftext|> y", "the the the", "w" * 3000, "word, " * 5000, "a b c", "a  b", "\ttab first", "1.5% of $20\nnew"]
 
@@ -64,3 +66,22 @@ def test_query(spark, sf_dir):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tf.read_ids(tf.write_ids(df, str(tmp_path / "none"))).count() == 0
+
+
+def twins(n):
+    """Two unlike words of n (a power of two) letters whose sums of weighted bytes agree modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_sum_are_told_apart(spark):
+    a, b = twins(4096)
+    w = Words([f"{a} {b} {a}"])
+    code, low, high = w.hashes()
+    assert code.tolist() == [0, 1, 0] and low[0] != low[1] and high[0] != high[1]
+    lib, enc = library(), tf.Encoder(tf.vocabulary_path())
+    for text in (f"x {a} y", f"x {b} y", f"{a} {b} word", f"{b}\n{a}"):
+        assert enc.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, " ".join([a] * 20)), (2, " ".join([a] * 19 + [b]))], "doc_id long, text string")
+    assert {r.doc_id: r["__removed"] for r in substring.deduplicate(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.n_known for r in ppm.score(docs, docs.doc_id == 1, order=1).collect()} == {1: 21, 2: 20}

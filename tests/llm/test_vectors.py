@@ -68,3 +68,34 @@ def test_ann_ties_and_odd_rows(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in data + ODD], "vec_id long, embedding array<double>, rank string").repartition(5)
     got = ann.nearest(df, df.where("vec_id = 20")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1000, 1020)) and {r.score for r in got} == {1.0}
+
+
+def clustered(n, size, dim, spread, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.repeat(centres, size, axis=0) + rng.normal(scale=spread, size=(n * size, dim))
+    return [(int(i), [float(x) for x in v[j]]) for i, j in enumerate(rng.permutation(len(v)))]
+
+
+def test_bounds_skip_most_blocks_of_clustered_rows(spark):
+    data = clustered(60, 64, 32, 0.02)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    tally = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    got = exact_search.exact_top_k(df, df.where("vec_id % 50 = 0"), tally=tally)
+    assert sorted(map(tuple, got.collect())) == brute(data, 50, 5, exact)
+    assert 0 < tally[1].value < 0.5 * tally[0].value
+
+
+def test_ann_always_finds_k(spark):
+    # Tight clusters smaller than k, and pairs of far vectors whose list holds two rows.
+    data = clustered(60, 30, 16, 0.001)
+    rng = np.random.default_rng(9)
+    for j in range(8):
+        far = rng.normal(size=16) * 50
+        data += [(10_000 + 2 * j, [float(x) for x in far]), (10_001 + 2 * j, [float(x) for x in far * 1.01])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    counts = {r.query_id: r["count"] for r in ann.nearest(df, df).groupBy("query_id").count().collect()}
+    assert len(counts) == len(data) and set(counts.values()) == {20}
+    twice = df.union(df.where("vec_id < 30").withColumn("vec_id", df.vec_id * 0 + 7))
+    assert {r["count"] for r in ann.nearest(twice, df.where("vec_id = 7"), 40).groupBy("query_id").count().collect()} == {40}
