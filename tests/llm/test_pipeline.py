@@ -44,3 +44,22 @@ def test_run_and_empty_table(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null columns, empty texts and columns of clashing names pass every stage."""
+    prose = {"en": "the house and the garden with a tree near the river ", "de": "das haus und der garten mit einem baum am fluss "}
+    rows = [(i, prose[lang] + f"number {i} of all {i * 7} things", lang, "ab"[i % 2], 10) for i, lang in enumerate(["en", "de"] * 12)]
+    rows += [(None, prose["en"] + "without any id", "en", None, None), (3, "a text unlike the other third one and all the rest of them", None, "b", 1), (3, None, "en", "a", 0), (50, "", "de", None, 0), (51, "12 34", "en", "a", 5)]
+    clash = ["__lang", "__sure", "__words", "__removed", "__size", "__copies", "__copy", "__kind", "__stay", "__least", "unit", "part", "lang_pred"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r, *clash) for r in rows], schema).repartition(3)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+        got = written(stage(spark, docs, ""), f"odd-{name}")
+        if name == "tokens":
+            assert got.count() == docs.count()
+            break
+        assert got.columns == docs.columns and all(all(r[c] == c for c in clash) for r in got.collect())
+        docs = got
+        assert docs.where("doc_id IS NULL").count() in (1, 2) and docs.where("doc_id = 3").count() >= 1
