@@ -11,5 +11,5 @@ __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked, budgeted context for ten questions."""
+    """Ranked, budgeted context for the questions of ``benchmark``."""
     return retrieval_queries.ranked_context(Tables(spark, sf_dir))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,47 +60,50 @@ def with_window(docs: DataFrame, window: int = 2, text: str = "text") -> DataFra
     return cut.select("doc_id", "pos", "core", F.array_join(F.slice("s", first + 1, last - first + 1), " ").alias("chunk"))
 
 
+def _windows(lengths: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of packs of neighbouring pieces: as many as fit ``size``, one at least, each pack from where the last one's ``overlap`` begins."""
+    reach = [0, *accumulate(lengths)]
+    first, least = 0, 1
+    while True:
+        end = max(least, bisect_right(reach, reach[first] + size) - 1)
+        yield first, end
+        if end >= len(lengths):
+            return
+        first, least = bisect_left(reach, reach[end] - overlap, first, end), end + 1
+
+
+def split_recursive(text: str, size: int, overlap: int, marks: list[str]) -> list[str]:
+    """Chunks of a text: split at the first separator that it holds; runs of pieces shorter than ``size`` are packed, each other piece is split by the separators left.
+
+    Pieces wait on a stack, the next one in document order on top, beside the
+    separators that are still to be tried on them.
+    """
+    out, todo = [], [(text, list(marks))]
+    while todo:
+        piece, left = todo.pop()
+        if isinstance(left, str):  # a run of short pieces and what joins them
+            out += [left.join(piece[a:b]) for a, b in _windows([len(p) for p in piece], size, overlap)]
+            continue
+        mark = next((m for m in left if m in piece), left[-1])
+        parts = piece.split(mark) if mark else list(piece)
+        rest = [m for m in left if m != mark] or [""]
+        runs = [(list(g), mark) if short else [(p, rest) for p in g] for short, g in groupby(parts, lambda p: len(p) < max(size, 2))]
+        flat = [x for r in runs for x in (r if isinstance(r, list) else [r])]
+        todo += flat[::-1]
+    return [c for c in out if c.strip()]
+
+
 def recursive(docs: DataFrame, size: int = 1000, overlap: int = 200, separators: list[str] | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Splits at the first separator that a text holds and packs; what is still too long goes to the next separators."""
+    """(id, pos, chunk): each text's chunks by ``split_recursive``; null and empty texts have none."""
     marks = separators or SEPARATORS
 
-    def packed(parts: list[str], mark: str) -> list[str]:
-        out, now, n = [], [], 0
-        for p in parts:
-            if now and n + len(p) > size:
-                out.append(mark.join(now))
-                keep, kept = [], 0
-                for q in reversed(now):
-                    if kept + len(q) > overlap:
-                        break
-                    keep.insert(0, q)
-                    kept += len(q)
-                now, n = keep, kept
-            now.append(p)
-            n += len(p)
-        return [c for c in [*out, mark.join(now)] if c.strip()]
-
-    def cut(t: str, left: list[str]) -> list[str]:
-        mark = next((m for m in left if m == "" or m in t), "")
-        rest = left[left.index(mark) + 1 :] if mark in left else []
-        out, small = [], []
-        for p in t.split(mark) if mark else list(t):
-            if len(p) <= size:
-                small.append(p)
-                continue
-            out += packed(small, mark) if small else []
-            small = []
-            out += cut(p, rest) if rest else [p]
-        return out + (packed(small, mark) if small else [])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [cut(t, marks) if t else [] for t in batch.column(1).to_pylist()]
-            of = [i for i, p in enumerate(parts) for _ in p]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())], names=[id_col, "pos", "chunk"])
+            cut = [split_recursive(t, size, overlap, marks) if t else [] for t in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string())], names=[id_col, "pos", "chunk"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, pos int, chunk string")
+    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, pos int, chunk string")
 
 
 def markdown_sections(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from corvane.functions import validation as va
 from corvane.operators import parsed, prompts, routing
 from corvane.plans.event_queries import _OUT, _outputs
 from corvane.plans.registry import Tables, query
+from corvane.plans.retrieval_queries import _BM25, _bm25
 
 _ROUTES = [("news", [], ["the", "and", "report"], ["token"], 0.05, True), ("help", ["a"], ["is", "in", "to", "of"], [], 0.0, True), ("open", [], [], [], -0.1, True), ("off", [], ["e"], [], 0.3, False)]
 
@@ -34,14 +35,13 @@ def prompt_requests(t: Tables) -> DataFrame:
     return t.conversations.where("role = 'user'").select("conv_id", "turn", prompts.prompt_type(c).alias("kind"), prompts.complexity(c, F.lit(1)).alias("complexity"), prompts.capped(c, 10).alias("capped"))
 
 
-@query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, substr(text, 1, 40) AS content FROM documents)
-SELECT source, string_agg('[' || i || '] doc' || doc_id || ' (relevance: 0.50)' || chr(10) || content, chr(10) || chr(10) ORDER BY i) AS block FROM d WHERE i <= 3 GROUP BY 1""")
+@query(f"""WITH {_BM25}, b AS (SELECT query_id, rank, '[' || rank || '] doc' || doc_id || ' (relevance: ' || printf('%.2f', score) || ')' || chr(10) || text AS block FROM r JOIN documents USING (doc_id) WHERE rank <= 3)
+SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS block FROM b GROUP BY 1""")
 def prompt_context_block(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    first = t.documents.select("source", "doc_id", F.substring("text", 1, 40).alias("content"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("i")).where("i <= 3")
-    docs = first.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "doc_id", "content"))), lambda x: F.struct(F.concat(F.lit("doc"), x["doc_id"].cast("string")).alias("source"), F.lit(0.5).alias("score"), x["content"].alias("content"))).alias("docs"))
-    return docs.select("source", prompts.context_block(F.col("docs")).alias("block"))
+    """The numbered block of whole documents, the three best of each question, that a prompt carries; its digest keeps rows small."""
+    best = _bm25(t).where("rank <= 3").join(t.documents.select("doc_id", "text"), "doc_id")
+    docs = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "text"))), lambda x: F.struct(F.concat(F.lit("doc"), x["doc_id"].cast("string")).alias("source"), x["score"].alias("score"), x["text"].alias("content"))).alias("docs"))
+    return docs.select("query_id", F.md5(prompts.context_block(F.col("docs"))).alias("block"))
 
 
 @query("SELECT o_orderkey, '{\"key\": ' || o_orderkey || ', \"status\": \"' || o_orderstatus || '\"}' AS parsed, CAST(NULL AS VARCHAR) AS error FROM orders WHERE o_orderkey % 6 = 0")

@@ -11,27 +11,36 @@ from corvane.operators import rows, search
 from corvane.plans.registry import Tables, query
 from corvane.plans.text_queries import TOKENS
 
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark), d AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
 c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT q.query_id, p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
-_JAC = f"""t AS (SELECT item_id AS query_id, list_distinct({TOKENS.format('text')}) AS qt FROM benchmark WHERE item_id < 10), j AS (SELECT query_id, doc_id, count(*) AS k, any_value(len(qt)) AS m FROM (SELECT query_id, qt, unnest(qt) AS term FROM t) JOIN (SELECT DISTINCT doc_id, term FROM p) USING (term) GROUP BY ALL),
+_JAC = f"""t AS (SELECT item_id AS query_id, list_distinct({TOKENS.format('text')}) AS qt FROM benchmark), j AS (SELECT query_id, doc_id, count(*) AS k, any_value(len(qt)) AS m FROM (SELECT query_id, qt, unnest(qt) AS term FROM t) JOIN (SELECT DISTINCT doc_id, term FROM p) USING (term) GROUP BY ALL),
 o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(k / m, 6) DESC, doc_id) AS rank FROM j)"""
 
 
 def _questions(t: Tables) -> DataFrame:
-    return t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _postings(t: Tables) -> DataFrame:
+    """The postings of all documents, written once and shared by keyword scores and overlap."""
+    return t.once("postings", lambda: search.postings(t.documents, "doc_id", "text"))
 
 
 def _bm25(t: Tables, docs: DataFrame | None = None) -> DataFrame:
-    return search.top_k(search.bm25(docs if docs is not None else t.documents, _questions(t)), 20, ties="doc_id")
+    held = _postings(t)
+    if docs is not None:
+        held = t.once("kept-postings", lambda: held.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    counted = docs if docs is not None else t.documents
+    return search.top_k(search.bm25(counted, _questions(t), held=held), 20, ties="doc_id")
 
 
 def _overlap(t: Tables) -> DataFrame:
     """The share of a question's words that a document has, the best 20."""
     q = _questions(t).select("query_id", F.array_distinct(tx.tokens(F.col("query"))).alias("w")).select("query_id", F.size("w").alias("m"), F.explode("w").alias("term"))
-    terms = t.documents.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    hits = terms.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.first("m"), 6).alias("score"))
+    terms = _postings(t).select("doc_id", "term")
+    hits = terms.join(search.small(q, 500_000), "term").groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.first("m"), 6).alias("score"))
     return search.top_k(hits, 20, ties="doc_id")
 
 
@@ -78,12 +87,12 @@ def ranked_context(t: Tables) -> DataFrame:
 
     Each step is a query of its own above with SQL beside it.
     """
-    docs = rows.keep_first(t.documents, tx.content_hash(F.col("text")), ["doc_id"]).where(~tx.is_noise(F.col("text")))
+    docs = t.once("kept-documents", lambda: rows.keep_first(t.documents, tx.content_hash(F.col("text")), ["doc_id"]).where(~tx.is_noise(F.col("text"))))
     questions = _questions(t)
     fused = search.fuse([(_bm25(t, docs), 0.6), (_overlap(t).join(docs.select("doc_id"), "doc_id", "left_semi"), 0.3)])
     quality = t.labels.select("doc_id", F.when(F.col("quality") == 1, 3).otherwise(1).alias("quality"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    hits = fused.withColumn("rank", F.row_number().over(order)).where("rank <= 20").join(quality, "doc_id", "left").join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(questions), "query_id")
+    hits = fused.withColumn("rank", F.row_number().over(order)).where("rank <= 20").join(quality, "doc_id", "left").join(docs.select("doc_id", "text"), "doc_id").join(search.small(questions, 100_000), "query_id")
     keyword = qx.contained_share(F.col("text"), qx.keywords(F.col("query")))
     scored = hits.select("query_id", "query", "doc_id", F.length("text").alias("n"), search.composite(F.least(F.lit(1.0), F.col("score") * 60), keyword, F.coalesce("quality", F.lit(0)), F.lit(0.0), F.col("rank") - 1).alias("score"))
     placed = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 15")

@@ -46,13 +46,13 @@ def doc_prefix_dedup(t: Tables) -> DataFrame:
 _SHINGLES = r"""WITH w AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, source, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, source, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT c.a, c.b, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE round(k / (x.n + y.n - k), 6) >= 0.3"""
 
 
 @query(_SHINGLES)
 def doc_jaccard_pairs(t: Tables) -> DataFrame:
-    return rows.similar_pairs(t.documents, within="source")
+    return rows.similar_pairs(t.documents)
 
 
 @query()

@@ -30,7 +30,7 @@ def _asked(t: Tables, where: str) -> DataFrame:
 
 
 def _found(t: Tables, metric: str, rows: DataFrame | None = None, asked: str = "vec_id = 0", k: int = 10) -> DataFrame:
-    scored = search.compared(rows if rows is not None else t.embeddings, _asked(t, asked), metric)
+    scored = search.compared(rows if rows is not None else t.embeddings, _asked(t, asked), metric, k=k)
     return search.top_k(scored, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -62,13 +62,13 @@ def vec_topk_filtered(t: Tables) -> DataFrame:
 
 @query(_top("cosine", "AND d.vec_id <> q.vec_id", 5, "q.vec_id % 25 = 0"))
 def vec_batch_topk(t: Tables) -> DataFrame:
-    scored = search.compared(t.embeddings, _asked(t, "vec_id % 25 = 0")).where("vec_id <> query_id")
+    scored = search.compared(t.embeddings, _asked(t, "vec_id % 25 = 0"), k=5).where("vec_id <> query_id")
     return search.top_k(scored, 5).select("query_id", "rank", "vec_id", "score")
 
 
 @query(f"WITH v AS ({_V}) SELECT d.vec_id, round({_SCORE['cosine']}, 6) AS score FROM v q JOIN v d ON q.vec_id = 0 WHERE round({_SCORE['cosine']}, 6) >= 0.2")
 def vec_threshold(t: Tables) -> DataFrame:
-    return search.compared(t.embeddings, _asked(t, "vec_id = 0")).where("score >= 0.2").select("vec_id", "score")
+    return search.compared(t.embeddings, _asked(t, "vec_id = 0"), least=0.2).select("vec_id", "score")
 
 
 @query(_top("cosine", "AND d.vec_id <> q.vec_id", 7, "q.vec_id = 42"))
@@ -76,11 +76,11 @@ def vec_neighbours_of_id(t: Tables) -> DataFrame:
     return _found(t, "cosine", t.embeddings.where("vec_id <> 42"), "vec_id = 42", 7)
 
 
-@query(f"""WITH v AS ({_V}), s AS (SELECT d.vec_id, max(round({_SCORE['cosine']}, 6)) AS score FROM v q JOIN v d ON q.label = 0 AND q.vec_id < 100 AND d.label <> 0 GROUP BY d.vec_id)
+@query(f"""WITH v AS ({_V}), s AS (SELECT d.vec_id, max(round({_SCORE['cosine']}, 6)) AS score FROM v q JOIN v d ON q.label = 0 AND d.label <> 0 GROUP BY d.vec_id)
 SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10""")
 def vec_neighbours_of_group(t: Tables) -> DataFrame:
     """For a group's vectors the best score of each row outside the group; ten of these."""
-    scored = search.compared(t.embeddings.where("label <> 0"), _asked(t, "label = 0 AND vec_id < 100"))
+    scored = search.compared(t.embeddings.where("label <> 0"), _asked(t, "label = 0"), k=10)
     return scored.groupBy("vec_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
@@ -101,18 +101,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, la
 SELECT query_id, label, score, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.60 THEN 'medium' WHEN score >= 0.40 THEN 'low' ELSE 'none' END AS confidence FROM r WHERE rank = 1""")
 def route_max_example(t: Tables) -> DataFrame:
     """Labels as routes, their rows as examples: the route of the most similar example, and how sure that is."""
-    scored = search.compared(t.embeddings.where("vec_id % 50 <> 1"), _asked(t, "vec_id % 50 = 1")).groupBy("query_id", "label").agg(F.max("score").alias("score"))
+    scored = search.compared(t.embeddings.where("vec_id % 50 <> 1"), _asked(t, "vec_id % 50 = 1"), k=1).groupBy("query_id", "label").agg(F.max("score").alias("score"))
     best = search.top_k(scored, 1, ties="label")
     return best.select("query_id", "label", "score", F.when(F.col("score") >= 0.85, "high").when(F.col("score") >= 0.60, "medium").when(F.col("score") >= 0.40, "low").otherwise("none").alias("confidence"))
 
 
-@query(f"""WITH v AS ({_V} WHERE vec_id < 200), s AS (SELECT a.vec_id AS a, d.vec_id AS b, round(list_inner_product(a.v, d.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(d.v, d.v))), 6) AS score FROM v a JOIN v d ON a.label = d.label AND a.vec_id < d.vec_id)
+@query(f"""WITH v AS ({_V}), s AS (SELECT a.vec_id AS a, d.vec_id AS b, round(list_inner_product(a.v, d.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(d.v, d.v))), 6) AS score FROM v a JOIN v d ON a.vec_id < d.vec_id)
 SELECT a, b, score FROM s WHERE score >= 0.35""")
 def vec_similar_pairs(t: Tables) -> DataFrame:
-    """Pairs within a label; the 200 rows are the feature: a stated set against itself."""
-    v = t.embeddings.where("vec_id < 200").select("vec_id", "label", vx.normalised(F.col("embedding")).alias("u"))
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("u").alias("x")), v.select(F.col("vec_id").alias("b"), "label", F.col("u").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(vx.dot(F.col("x"), F.col("y")), 6).alias("score")).where("score >= 0.35")
+    """All pairs of rows at 0.35 or more: the whole table as queries, in blocks, of which only what passes the threshold comes out."""
+    scored = search.compared(t.embeddings, _asked(t, "true"), least=0.35).where("query_id < vec_id")
+    return scored.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
 
 
 @query(f"""WITH v AS ({_V}), c AS (SELECT label, i, avg(v[i]) AS m FROM v, range(1, 65) r(i) GROUP BY ALL) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(m, 6) AS mean FROM c""")

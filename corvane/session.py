@@ -18,9 +18,11 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder for checkpoints that driver and executors share: ``spark.checkpoint.dir``, or, on one machine where that is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

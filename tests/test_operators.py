@@ -57,6 +57,30 @@ def test_html(spark):
     assert [(r.page_id, r.kind, r.content) for r in got] == [(1, "table", "a | b\nc | d"), (1, "text", "T\nA\nb\nc\na\nb\nc\nd")]
 
 
+def test_html_of_broken_pages():
+    def read(page):
+        r = html._Reader()
+        r.feed(page)
+        r.close()
+        return r.text, [x for _, x in r.found]
+
+    assert read("<table><tr><td>a</tr></td></table>") == (["a"], ["a"])
+    assert read("<table><tr><td>a</td></table></tr>b") == (["a", "b"], ["a"])
+    assert read("<header><nav>menu</header><p>body</p>") == (["body"], [])
+    assert read("<p>one</p><nav>menu<p>body</p>") == (["one", "menu", "body"], [])
+    assert read("<table><tr><td>out<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>") == (["out", "in", "b"], ["out | b", "in"])
+    assert read("<table><td>a<td>b<tr><td>c</table>") == (["a", "b", "c"], ["a | b\nc"])
+    assert read("<footer>x</footer><script>no</script><p>y</nav></p>") == (["y"], [])
+
+
+def test_recursive_chunks_by_literals(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb. cc dd. eeeeee ffffff ggg"), (2, "one two\n\nthree four five six"), (3, "abcdefghij")], "doc_id long, text string")
+    got = chunks.recursive(docs, 8, 0).orderBy("doc_id", "pos").collect()
+    assert [r.chunk for r in got if r.doc_id == 1] == ["aaa bbb", " cc dd", " eeeeee", "ffffff", "ggg"]
+    assert [r.chunk for r in got if r.doc_id == 2] == ["one two", "three", "four five", "six"]
+    assert [r.chunk for r in got if r.doc_id == 3] == ["abcdefgh", "ij"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     (tmp_path / "b.txt").write_bytes("café".encode("latin-1"))
