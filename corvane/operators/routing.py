@@ -46,3 +46,23 @@ def route(questions: DataFrame, routes: DataFrame, k: int = 5) -> DataFrame:
     scored = pairs.withColumn("score", combined(semantic, keyword_score(F.col("text"), F.col("required"), F.col("any_of"), F.col("excluded")), F.col("bias")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "route")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "route", "score", confidence(F.col("score")).alias("confidence"))
+
+
+def best_groups(scored: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """The k best groups (query_id, grp, score) of each question that reach ``least``, ranked; ties by name."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "grp")
+    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def aggregated(results: DataFrame, separator: str = " | ") -> DataFrame:
+    """For each question the first result that succeeded, the different ones joined, and how many failed; results: query_id, at, result, ok."""
+    good = F.when(F.col("ok"), F.col("result"))
+    joined = F.array_join(F.sort_array(F.collect_set(good)), separator)
+    return results.groupBy("query_id").agg(F.min_by(good, F.when(F.col("ok"), F.col("at"))).alias("first"), F.nullif(joined, F.lit("")).alias("merged"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def with_fallback(questions: DataFrame, routed: DataFrame, fallback: str) -> DataFrame:
+    """The best route of each question (query_id), and ``fallback`` with no confidence where none was found."""
+    best = routed.where("rank = 1").select("query_id", "route", "score", "confidence")
+    out = questions.select("query_id").join(best, "query_id", "left")
+    return out.select("query_id", F.coalesce("route", F.lit(fallback)).alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("confidence", F.lit("none")).alias("confidence"))

@@ -53,9 +53,15 @@ def directory_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("type").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
+def _whole(spark: SparkSession, path: str, names: str | None) -> DataFrame:
+    """Files below a folder with their contents; ``names``: a glob that their names match."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", names) if names else reader).load(path)
+
+
+def text_files(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """Each file a document; metadata char_count and line_count."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", decoded(F.col("content")).alias("t"))
+    raw = _whole(spark, path, names).select("path", decoded(F.col("content")).alias("t"))
     return as_documents(raw, F.col("path"), F.col("t"), text_metadata(F.col("t")))
 
 
@@ -67,8 +73,8 @@ def markdown_metadata(c: Column) -> Column:
     return F.create_map(F.lit("title"), tx.markdown_title(c), F.lit("has_code_blocks"), F.contains(c, F.lit("```")).cast("string"), F.lit("heading_count"), tx.count(c, "\n#").cast("string"))
 
 
-def markdown_files(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", decoded(F.col("content")).alias("t"))
+def markdown_files(spark: SparkSession, path: str, strip: bool = False, names: str | None = None) -> DataFrame:
+    raw = _whole(spark, path, names).select("path", decoded(F.col("content")).alias("t"))
     return as_documents(raw, F.col("path"), tx.strip_markdown(F.col("t")) if strip else F.col("t"), markdown_metadata(F.col("t")))
 
 
