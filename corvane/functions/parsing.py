@@ -59,14 +59,27 @@ def plain_score(c: Column) -> Column:
     return F.round(F.greatest(F.lit(0.1), 0.55 - 0.1 * signs), 6)
 
 
+def _csv(c: Column) -> Column:
+    from corvane.functions.fixing import csv_score
+
+    return csv_score(c)
+
+
+def _xml(c: Column) -> Column:
+    from corvane.functions.fixing import xml_score
+
+    return xml_score(c)
+
+
 def detect_format(c: Column) -> Column:
     """The likeliest format and its score: struct(format, score); a fence's language goes first."""
     fence = F.lower(F.regexp_extract(c, r"```(\w*)\s*\n[\s\S]*?```", 1))
     named = F.create_map(*[F.lit(x) for p in (("json", "json"), ("yaml", "yaml"), ("yml", "yaml"), ("csv", "csv"), ("xml", "xml"), ("markdown", "markdown_table")) for x in p])
-    scores = [("json", json_score(c)), ("yaml", yaml_score(c)), ("markdown_table", table_score(c)), ("numbered_list", numbered_score(c)), ("bulleted_list", bulleted_score(c)), ("key_value", key_value_score(c)), ("tool_call", tool_score(c)), ("plain_text", plain_score(c))]
-    ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("format")) for i, (n, s) in enumerate(scores)]))
+    scores = [("json", json_score(c)), ("yaml", yaml_score(c)), ("csv", _csv(c)), ("markdown_table", table_score(c)), ("numbered_list", numbered_score(c)), ("bulleted_list", bulleted_score(c)), ("key_value", key_value_score(c)), ("xml", _xml(c)), ("tool_call", tool_score(c)), ("plain_text", plain_score(c))]
     fenced = F.element_at(named, fence)
-    return F.when(fenced.isNotNull(), F.struct(fenced.alias("format"), F.lit(0.95).alias("score"))).otherwise(F.struct(ranked[0]["format"].alias("format"), (-ranked[0]["s"]).alias("score")))
+    all_ = F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("format")) for i, (n, s) in enumerate(scores)])
+    best = let(F.array_min(all_), lambda r: F.struct(r["format"].alias("format"), (-r["s"]).alias("score")))
+    return F.when(fenced.isNotNull(), F.struct(fenced.alias("format"), F.lit(0.95).alias("score"))).otherwise(best)
 
 
 def list_items(c: Column) -> Column:

@@ -149,13 +149,27 @@ def markdown_sections(docs: DataFrame, text: str = "text", id_col: str = "doc_id
 
 
 def sentence_similarity(docs: DataFrame, text: str = "text", buckets: int = 256) -> DataFrame:
-    """(doc_id, pos, similarity) of each sentence to the one before, as cosine of hashed word counts."""
-    from corvane.functions.vectors import term_bucket
-
-    s = docs.select("doc_id", F.posexplode(tx.sentences(F.col(text))).alias("pos", "s"))
-    counts = s.select("doc_id", "pos", F.explode(tx.tokens(F.col("s"))).alias("w")).groupBy("doc_id", "pos", term_bucket(F.col("w"), buckets).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    norms = counts.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    last = counts.select("doc_id", (F.col("pos") + 1).alias("pos"), "b", F.col("n").alias("m"))
-    dots = counts.join(last, ["doc_id", "pos", "b"]).groupBy("doc_id", "pos").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    before = norms.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("norm").alias("other"))
-    return norms.join(before, ["doc_id", "pos"]).join(dots, ["doc_id", "pos"], "left").select("doc_id", "pos", F.round(F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("other")), 6).alias("similarity"))
+    """(doc_id, pos, similarity) of each sentence to the one before, as cosine of hashed word counts; sentences without words take no part.
+
+    Neighbours stand in one row, so nothing is shuffled: words come as arrays
+    from the JVM, and a batch's counts are rows of one sparse table.
+    """
+    from hashlib import md5
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                per_doc = np.diff(batch.column(1).offsets.to_numpy())
+                parts = batch.column(1).flatten()
+                per_part, words = np.diff(parts.offsets.to_numpy()), parts.flatten().dictionary_encode()
+                bucket = np.array([int(md5(w.encode()).hexdigest()[:7], 16) % buckets for w in words.dictionary.to_pylist()], np.int64)
+                counts = np.bincount(np.repeat(np.arange(len(per_part)), per_part) * buckets + bucket[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), minlength=len(per_part) * buckets).reshape(-1, buckets).astype(np.float64)
+                doc, norm = np.repeat(np.arange(len(per_doc)), per_doc), np.sqrt((counts**2).sum(1))
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                here = np.nonzero((doc[1:] == doc[:-1]) & (norm[1:] > 0) & (norm[:-1] > 0))[0] + 1
+                like = (counts[here] * counts[here - 1]).sum(1) / (norm[here] * norm[here - 1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[here])), pa.array(pos[here], pa.int32()), pa.array(np.round(like, 6))], names=["doc_id", "pos", "similarity"])
+
+    words = F.transform(tx.sentences(F.col(text)), tx.tokens)
+    return docs.where(F.col(text).isNotNull()).select("doc_id", words.alias("w")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, similarity double")

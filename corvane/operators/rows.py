@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.functions.let import let
 from corvane.session import shared_dir
 
 
@@ -29,31 +32,47 @@ def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return rows.join(first, order, "left_semi")
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.3, k: int = 5, within: str | None = None, text: str = "text") -> DataFrame:
-    """(a, b, jaccard): pairs of documents whose sets of k-word shingles are alike.
+def similar_pairs(docs: DataFrame, least: float = 0.3, k: int = 5, text: str = "text", once: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
+    """(a, b, jaccard): pairs of documents whose sets of k-word shingles are alike, each set standing for all documents that have it.
 
+    a and b are the smallest ids of their sets, so thousands of copies are one
+    row and not all their pairs; ``copies`` tells which documents a set has.
     Prefix filtering: a pair that reaches ``least`` shares one of the rarest
-    shingles of either set. Only these prefixes meet in a join; the whole sets
-    of the candidates are then compared.
+    shingles of either set. Only these prefixes meet in a join, between sets
+    whose sizes allow ``least``; the whole sets of the candidates are then
+    compared. ``once`` writes a table that is used several times.
     """
-    keys = ["doc_id", *([within] if within else [])]
-    sets = docs.select(*keys, F.transform(tx.shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("set"))
-    each = sets.select(*keys, F.size("set").alias("n"), F.explode("set").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
-    prefix = each.join(common, "s").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select(*keys, "s")
+    once = once or (lambda name, build: build())
+    classes = once(f"classes-{k}", lambda: _sets(docs, k, text).groupBy(F.xxhash64("set").alias("cls")).agg(F.min("doc_id").alias("least_id"), F.first("set").alias("set")).select(F.col("least_id").alias("id"), "set"))
+    each = classes.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
+    # Shingles of one set alone can't bring two together, and are the rarest of all.
+    common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "s"))
+    prefix = once(f"prefix-{k}-{least}", lambda: each.join(common, "s").withColumn("r", rank).where(F.col("r") > F.ceil(F.col("n") * least) - 1).select("id", "n", "s"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    same = (F.col("a.s") == F.col("b.s")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    if within:
-        same = same & (F.col(f"a.{within}") == F.col(f"b.{within}"))
-    pairs = a.join(b, same).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", F.round(tx.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= least)
+    sizes = (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left, right = classes.select(F.col("id").alias("a"), F.col("set").alias("x")), classes.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = let(both, lambda n: F.round(n / (F.size("x") + F.size("y") - n), 6))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", alike.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
+    return docs.select("doc_id", F.array_sort(F.transform(tx.shingles(F.col(text), k), lambda s: F.xxhash64(s))).alias("set"))
+
 
+def copies(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
+    """(doc_id, first): the smallest id of the documents that have the same set of shingles."""
+    keyed = _sets(docs, k, text).select("doc_id", F.xxhash64("set").alias("cls"))
+    return keyed.join(keyed.groupBy("cls").agg(F.min("doc_id").alias("first")), "cls").select("doc_id", "first")
 
-def drop_similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Drops a row that is alike to an earlier row that stays: rounds of settled rows until none is open."""
+
+def drop_similar(docs: DataFrame, pairs: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """Drops a row that is alike to an earlier row that stays: rounds of settled rows until none is open.
+
+    ``pairs`` may be between the firsts of ``same`` (doc_id, first); all others go, as what drops a first drops its copies.
+    """
     shared_dir(docs.sparkSession)
     edges = pairs.select(F.col("a").alias("early"), F.col("b").alias("late")).checkpoint()
     gone = edges.select(F.col("late").alias("doc_id")).where("false")
@@ -65,4 +84,6 @@ def drop_similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         gone = gone.union(new.select(F.col("late").alias("doc_id"))).distinct().checkpoint()
         dead = gone.select(F.col("doc_id").alias("early"))
         open_edges = open_edges.join(keep, "early", "left_anti").join(dead, "early", "left_anti").join(gone.select(F.col("doc_id").alias("late")), "late", "left_anti").checkpoint()
+    if same is not None:
+        gone = gone.union(same.where("doc_id <> first").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import query as qx
 from corvane.functions import text as tx
-from corvane.operators import rows
+from corvane.operators import rows, search
 from corvane.plans.registry import Tables, query
 from corvane.sources import files, html
 
@@ -45,21 +45,27 @@ def doc_prefix_dedup(t: Tables) -> DataFrame:
 
 _SHINGLES = r"""WITH w AS (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, source, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, source, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+f AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY cls) AS first FROM (SELECT doc_id, count(*) AS n, md5(array_to_string(list(s ORDER BY s), ',')) AS cls FROM s GROUP BY 1)), n AS (SELECT doc_id, n FROM f WHERE doc_id = first),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM (s JOIN n USING (doc_id)) a JOIN (s JOIN n USING (doc_id)) b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT c.a, c.b, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE round(k / (x.n + y.n - k), 6) >= 0.3"""
 
 
 @query(_SHINGLES)
 def doc_jaccard_pairs(t: Tables) -> DataFrame:
-    return rows.similar_pairs(t.documents)
+    """Pairs of unlike texts, the first document of each set of shingles standing for its copies (``doc_copies``)."""
+    return rows.similar_pairs(t.documents, once=t.once)
+
+
+@query(_SHINGLES[: _SHINGLES.index(", n AS (SELECT doc_id, n FROM f")] + " SELECT doc_id, first FROM f")
+def doc_copies(t: Tables) -> DataFrame:
+    return rows.copies(t.documents)
 
 
 @query()
 def doc_greedy_similarity_dedup(t: Tables) -> DataFrame:
     """A document goes if it is alike (0.85) to an earlier one that stays; a sequential rule, so rows-only here and brute force in tests."""
-    pairs = rows.similar_pairs(t.documents, least=0.85)
-    return rows.drop_similar(t.documents.select("doc_id"), pairs)
+    pairs = rows.similar_pairs(t.documents, least=0.85, once=t.once)
+    return rows.drop_similar(t.documents.select("doc_id"), pairs, rows.copies(t.documents))
 
 
 @query(f"SELECT doc_id, CAST(len({WORDS.format('text')}) AS BIGINT) AS words, CAST(floor(len({WORDS.format('text')}) * 1.3) AS BIGINT) AS token_estimate, CAST(len({TOKENS.format('text')}) AS BIGINT) AS tokens FROM documents")
@@ -118,11 +124,9 @@ s AS (SELECT doc_id, w, round(n / total * (ln((SELECT count(*) FROM documents) +
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, w) AS rank FROM s) SELECT doc_id, w AS word, CAST(rank AS INTEGER) AS rank, tfidf AS score FROM r WHERE rank <= 10""")
 def keywords_topk(t: Tables) -> DataFrame:
     """Ten words of most tf-idf over the whole table for each document."""
-    w = t.documents.select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    tf = w.select("doc_id", F.size("w").alias("total"), F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
     stop = [*tx.STOP_WORDS_AR, *tx.STOP_WORDS_EN]
-    tf = tf.where((F.length("word") >= 2) & ~F.col("word").isin(stop))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    tf = t.once("terms", lambda: search.postings(t.documents, "doc_id", "text").where((F.length("term") >= 2) & ~F.col("term").isin(stop)).select("doc_id", F.col("term").alias("word"), F.col("tf").alias("n"), F.col("length").alias("total")))
+    df = search.small(tf.groupBy("word").agg(F.count("*").alias("df")), 1_000_000)
     docs = t.documents.agg(F.count("*").alias("docs"))
     score = F.round(F.col("n") / F.col("total") * (F.log(F.col("docs") + 1) - F.log(F.col("df") + 1) + 1), 6)
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "word")

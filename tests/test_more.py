@@ -129,11 +129,11 @@ def test_excel_and_auto(spark, tmp_path):
     (tmp_path / "c.md").write_text("# T\n\nbody")
     (tmp_path / "d.csv").write_text("k,v\n1,2\n")
     (tmp_path / "e.html").write_text("<title>T</title><p>para</p>")
-    (tmp_path / "f.bin").write_bytes(b"")
+    (tmp_path / "f.bin").write_bytes(b"x")
     got = sorted(r.page_content for r in auto.load(spark, str(tmp_path)).collect())
     assert got == sorted(["one", "two", "# T\n\nbody", "k: 1\nv: 2", "T\npara", "name: Bo\nage: 3", "age: 4"])
     assert [r.path.rsplit("/", 1)[-1] for r in auto.unread(spark, str(tmp_path)).collect()] == ["f.bin"]
     from corvane.sources import files
 
-    assert {r.path.rsplit("/", 1)[-1]: r.problem for r in auto.problems(files.directory(spark, str(tmp_path))).collect() if r.problem} == {"f.bin": "empty"}
+    assert {r.path.rsplit("/", 1)[-1]: r.problem for r in auto.problems(files.directory(spark, str(tmp_path))).collect() if r.problem} == {"f.bin": "unknown type"}
     assert {r.kind for r in auto.load_and_split(spark, str(tmp_path / "c.md")).collect()} == {"heading", "body"}

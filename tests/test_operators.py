@@ -24,12 +24,14 @@ def test_similar_pairs_against_brute_force(spark, sf_dir):
         sets[r.doc_id] = {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     want = {(a, b) for a in sets for b in sets if a < b and alike(a, b) >= 0.3}
-    assert {(r.a, r.b) for r in rows.similar_pairs(docs, 0.3).collect()} == want
+    first = {d: min(e for e in sets if sets[e] == sets[d]) for d in sets}
+    assert {r.doc_id: r.first for r in rows.copies(docs).collect()} == first
+    assert {(r.a, r.b) for r in rows.similar_pairs(docs, 0.3).collect()} == {(a, b) for a, b in want if first[a] == a and first[b] == b}
     kept = []
     for d in sorted(sets):
         if all(alike(k, d) < 0.85 for k in kept):
             kept.append(d)
-    assert sorted(r.doc_id for r in rows.drop_similar(docs.select("doc_id"), rows.similar_pairs(docs, 0.85)).collect()) == kept
+    assert sorted(r.doc_id for r in rows.drop_similar(docs.select("doc_id"), rows.similar_pairs(docs, 0.85), rows.copies(docs)).collect()) == kept
 
 
 def test_chained_similarity_keeps_what_only_dropped_rows_resemble(spark):
