@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import chunk_queries, chunker_queries, event_queries, guard_queries, prompt_queries, retrieval_queries, store_queries, text_queries, vector_queries  # noqa: F401  they register their queries
+from corvane.plans import chunk_queries, chunker_queries, event_queries, generation_queries, guard_queries, prompt_queries, retrieval_queries, store_queries, text_queries, vector_queries  # noqa: F401  they register their queries
 from corvane.plans.registry import ORACLE_SQL, QUERIES, Tables
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
