@@ -19,10 +19,13 @@ INTENTS = {
 }
 HIGH = r"(?i)\b(analyze|compare|evaluate|critique|pros.and.cons|trade.?off|قارن|حلل|قيّم|عوامل|مزايا وعيوب|الفرق بين)\b"
 STOP_EN = "the a an and or but in on at to for of with by from is are was were be been have has had do does did will would could should this that these those it its we you he she they them their our your my i not can get".split()
+STOP_AR = "في من إلى على عن مع هذا هذه ذلك التي الذي أن إن كان كانت هو هي هم نحن أنت ما لا لم قد كل بعض بين حيث ثم أو لكن و ب ل".split()
 WH = "what who when where how why which".split()
+WH_AR = "ما من متى أين كيف لماذا كم".split()
+YES_NO_AR = "هل أ".split()
 YES_NO = "is are was were do does did can could will".split()
 BUDGETS = {"low": 800, "medium": 2000, "high": 4000}
-ENTITY = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+ENTITY = r"(?<![\p{L}\p{N}_])(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*|[\x{0600}-\x{06FF}]{3,}(?:\s+[\x{0600}-\x{06FF}]{3,}){1,3})(?![\p{L}\p{N}_])"
 
 
 def normalise(c: Column) -> Column:
@@ -50,8 +53,11 @@ def budget(level: Column) -> Column:
 
 
 def question_type(c: Column) -> Column:
+    """wh-question, yes/no or open, by the first word in the question's own language: Arabic if 30 % of its characters are."""
     low = F.lower(tx.strip(c))
-    return F.when(low.rlike("^(" + "|".join(WH) + ")"), "wh-question").when(low.rlike("^(" + "|".join(YES_NO) + ")"), "yes/no").otherwise("open")
+    begins = lambda words: low.rlike("^(" + "|".join(words) + ")")
+    arabic = tx.is_arabic(c)
+    return F.when(arabic & begins(WH_AR) | ~arabic & begins(WH), "wh-question").when(arabic & begins(YES_NO_AR) | ~arabic & begins(YES_NO), "yes/no").otherwise("open")
 
 
 def entities(c: Column, most: int = 8) -> Column:
@@ -59,11 +65,12 @@ def entities(c: Column, most: int = 8) -> Column:
 
 
 def keywords(c: Column, most: int = 12) -> Column:
-    """Words of two letters or more but stop words, by count times 1 + 0.05 length; equals in order of first place."""
+    """Words of two letters or more but the stop words of the question's language, by count times 1 + 0.05 length; equals in order of first place."""
     def scores(w: Column) -> Column:
         return F.transform(F.array_distinct(w), lambda x: F.struct((-F.round(F.size(F.filter(w, lambda y: y == x)) * (1 + F.length(x) * 0.05), 6)).alias("s"), F.array_position(w, x).alias("at"), x.alias("word")))
 
-    scored = let(F.filter(tx.tokens(c), lambda x: (F.length(x) >= 2) & ~x.isin(STOP_EN)), scores)
+    arabic = tx.is_arabic(c)
+    scored = let(F.filter(tx.tokens(c), lambda x: (F.length(x) >= 2) & F.when(arabic, ~x.isin(STOP_AR)).otherwise(~x.isin(STOP_EN))), scores)
     return F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x["word"])
 
 

@@ -164,8 +164,9 @@ def query_keywords(t: Tables) -> DataFrame:
     return u.where("keywords <> ''")
 
 
-@query(rf"WITH e AS (SELECT doc_id, regexp_extract_all(text, '{qx.ENTITY}') AS e FROM documents) SELECT doc_id, CAST(len(list_distinct(e)) AS BIGINT) AS distinct_entities, coalesce(e[1], '') AS first FROM e")
+@query()
 def entities(t: Tables) -> DataFrame:
+    """Word ends are Unicode's, which the SQL engine's patterns lack; held against a plain reading in tests."""
     e = F.regexp_extract_all("text", F.lit(qx.ENTITY), F.lit(0))
     return t.documents.select("doc_id", F.size(F.array_distinct(e)).cast("long").alias("distinct_entities"), F.coalesce(F.try_element_at(e, F.lit(1)), F.lit("")).alias("first"))
 

@@ -56,7 +56,10 @@ def test_questions(one):
     assert [one(query.complexity(lit(x))) for x in ("one two three four five", long, long + long + " x", "compare a b")] == ["low", "medium", "high", "high"]
     assert one(query.question_type(lit("What is it"))) == "wh-question" and one(query.question_type(lit("Is it"))) == "yes/no" and one(query.question_type(lit("Go"))) == "open"
     assert one(query.keywords(lit("the cat and the catalogue catalogue"))) == ["catalogue", "cat"]
-    assert one(query.entities(lit("by Ada Lovelace and Ada Lovelace with Alan Turing"))) == ["Ada Lovelace", "Alan Turing"]
+    assert one(query.entities(lit("by Ada Lovelace and Ada Lovelace with Alan Turing in Paris"))) == ["Ada Lovelace", "Alan Turing", "Paris"]
+    assert one(query.entities(lit("زار محمد علي مدينة القاهرة"))) == ["زار محمد علي مدينة"]
+    assert one(query.question_type(lit("هل هذا صحيح"))) == "yes/no" and one(query.question_type(lit("ما هذا"))) == "wh-question" and one(query.question_type(lit("What is it"))) == "wh-question"
+    assert one(query.keywords(lit("هذا كتاب جديد في مكتبة"))) == ["مكتبة", "كتاب", "جديد"]
     assert math.isclose(one(query.contained_share(lit("A Cat"), F.array(lit("cat"), lit("dog")))), 0.5)
 
 

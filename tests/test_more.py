@@ -137,3 +137,16 @@ def test_excel_and_auto(spark, tmp_path):
 
     assert {r.path.rsplit("/", 1)[-1]: r.problem for r in auto.problems(files.directory(spark, str(tmp_path))).collect() if r.problem} == {"f.bin": "unknown type"}
     assert {r.kind for r in auto.load_and_split(spark, str(tmp_path / "c.md")).collect()} == {"heading", "body"}
+
+
+def test_entities_of_a_table(spark, sf_dir):
+    import re
+
+    from corvane import catalog
+
+    pattern = re.compile(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*|[\u0600-\u06FF]{3,}(?:\s+[\u0600-\u06FF]{3,}){1,3})\b")
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        found = list(dict.fromkeys(m.group() for m in pattern.finditer(r.text)))
+        want[r.doc_id] = (len(found), found[0] if found else "")
+    assert {r.doc_id: (r.distinct_entities, r.first) for r in catalog.QUERIES["entities"](spark, sf_dir).collect()} == want
