@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +88,44 @@ def drop_similar(docs: DataFrame, pairs: DataFrame, same: DataFrame | None = Non
     if same is not None:
         gone = gone.union(same.where("doc_id <> first").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
+
+
+def running(df: DataFrame, group: str, order: list[str | Column], once: Callable, value: Column | None = None) -> DataFrame:
+    """``df`` with ``place`` (from 1) and ``n`` of its row in its group, and ``reached``, the sum of ``value`` up to it.
+
+    No task gets a whole group: rows are dealt in ranges of (group, order), and
+    what stands before a range is summed up from a row for each range. ``order``
+    must tell rows apart.
+    """
+    amount = value if value is not None else F.lit(0)
+    ranged = once(f"ranged-{group}", lambda: df.withColumn("__amount", amount.cast("long")).repartitionByRange(F.col(group), *order).withColumn("__part", F.spark_partition_id()))
+    whole, ranges = Window.partitionBy("g"), Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col(group).alias("g"), F.col("__part").alias("p")).agg(F.count("*").alias("c"), F.sum("__amount").alias("s"))
+    before = sums.select("g", "p", F.sum("c").over(whole).alias("n"), F.coalesce(F.sum("c").over(ranges), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(ranges), F.lit(0)).alias("s"))
+    here = Window.partitionBy(group, "__part").orderBy(*order)
+    inside = ranged.withColumns({"__row": F.row_number().over(here), "__sum": F.sum("__amount").over(here.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = inside.join(before, F.col(group).eqNullSafe(F.col("g")) & (F.col("__part") == F.col("p")))
+    return joined.select(*df.columns, (F.col("c") + F.col("__row")).alias("place"), "n", (F.col("s") + F.col("__sum")).alias("reached"))
+
+
+def within_budget(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """(group, order, fits): rows of each group in order, each taken if it still fits; one that does not is passed over.
+
+    Whether a row fits depends on all before it, so a group's rows (three
+    numbers each) stream through one task, which holds one sum and no row.
+    """
+    kept = df.select(group, order, F.col(size).cast("long").alias("size"))
+    schema = f"{group} {df.schema[group].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, fits boolean"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = object(), 0
+        for batch in batches:
+            fits = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != last:
+                    last, used = g, 0
+                fits.append(used + n <= budget)
+                used += n * fits[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fits, pa.bool_())], names=[group, order, "fits"])
+
+    return kept.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)

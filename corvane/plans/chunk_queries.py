@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.operators import chunks
+from corvane.operators import chunks, rows
 from corvane.plans.registry import Tables, query
 from corvane.plans.text_queries import SENTENCES, WORDS
 
@@ -103,16 +103,16 @@ def adjacent_similarity(t: Tables) -> DataFrame:
 SELECT doc_id, source, CASE WHEN rank % 2 = 0 THEN rank // 2 ELSE n - 1 - rank // 2 END AS place FROM r""")
 def lost_in_middle(t: Tables) -> DataFrame:
     """The best at both ends, the least in the middle: even ranks from the front, odd ones from the back."""
-    order = Window.partitionBy("source").orderBy(F.length("text").desc(), "doc_id")
-    r = t.documents.select("doc_id", "source", (F.row_number().over(order) - 1).cast("long").alias("rank"), F.count("*").over(Window.partitionBy("source")).alias("n"))
+    sized = t.documents.select("doc_id", "source", F.length("text").alias("length"))
+    r = rows.running(sized, "source", [F.desc("length"), F.col("doc_id")], t.once).withColumn("rank", F.col("place") - 1)
     return r.select("doc_id", "source", F.when(F.expr("rank % 2 = 0"), F.expr("rank div 2")).otherwise(F.expr("n - 1 - rank div 2")).alias("place"))
 
 
 @query("""WITH o AS (SELECT doc_id, source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS reached FROM documents) SELECT doc_id, source, CAST(reached AS BIGINT) AS reached, reached <= 20000 AS included FROM o""")
 def context_budget(t: Tables) -> DataFrame:
     """A running budget that stops at the first overflow."""
-    reached = F.sum(F.length("text")).over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("doc_id", "source", reached.cast("long").alias("reached"), (reached <= 20000).alias("included"))
+    r = rows.running(t.documents.select("doc_id", "source", F.length("text").alias("length")), "source", ["doc_id"], t.once, F.col("length"))
+    return r.select("doc_id", "source", "reached", (F.col("reached") <= 20000).alias("included"))
 
 
 @query("""WITH l AS (SELECT source, list(length(text)::BIGINT ORDER BY doc_id) AS sizes, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1),
@@ -120,8 +120,4 @@ f AS (SELECT source, ids, list_reduce(sizes, lambda a, x: CASE WHEN a.used + x <
 SELECT source, unnest(ids) AS doc_id, unnest(fits) AS fits FROM f""")
 def budget_skip(t: Tables) -> DataFrame:
     """A budget that passes over what does not fit."""
-    from corvane.functions.folds import within_budget
-
-    rows = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("n")))).alias("r"))
-    fits = rows.select("source", F.explode(F.arrays_zip(F.transform("r", lambda x: x["doc_id"]).alias("doc_id"), within_budget(F.transform("r", lambda x: x["n"]), 20000).alias("fits"))).alias("x"))
-    return fits.select("source", "x.doc_id", "x.fits")
+    return rows.within_budget(t.documents.select("source", "doc_id", F.length("text").alias("size")), "source", "doc_id", "size", 20000)

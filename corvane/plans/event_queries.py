@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import parsing as px
 from corvane.functions import query as qx
+from corvane.operators import rows
 from corvane.plans.registry import Tables, query
 from corvane.plans.text_queries import STRIP
 from corvane.streaming import events as ev
@@ -39,10 +40,12 @@ _P95 = "list_sort(list(value))[greatest(1, CAST(floor(count(value) * 0.95) AS BI
 @query(f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, {_P95} AS p95 FROM events GROUP BY 1")
 def metrics_snapshot(t: Tables) -> DataFrame:
     """Nearest-rank p95 by place, not by collecting a type's values."""
-    n = F.count("value").over(Window.partitionBy("event_type"))
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
-    ranked = t.events.withColumns({"place": place, "at": F.greatest(F.lit(1), F.floor(n * 0.95))})
-    return ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.max(F.when(F.col("place") == F.col("at"), F.col("value"))).alias("p95"))
+    # Rows without a value have no place; they count in n alone.
+    known = rows.running(t.events.where("value IS NOT NULL").select("event_type", "value", "event_id"), "event_type", ["value", "event_id"], t.once)
+    at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
+    p95 = known.where(F.col("place") == at).select(F.col("event_type").alias("kind"), F.col("value").alias("p95"))
+    seen = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return seen.join(p95, F.col("event_type").eqNullSafe(F.col("kind")), "left").drop("kind")
 
 
 @query("SELECT event_id, user_id, round(sum(value) OVER w, 2) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 99 PRECEDING)")
@@ -155,8 +158,9 @@ WHEN 3 THEN 'Order Key: ' || o_orderkey || chr(10) || 'status = ' || o_orderstat
 
 
 def _outputs(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("corvane_orders")
-    return t.spark.sql(_OUT.replace("FROM orders", "FROM corvane_orders"))
+    """What a model may have written about each order, in six formats."""
+    expression = _OUT[_OUT.index("CASE") : _OUT.index(" AS output FROM")].replace("chr(10)", "char(10)")
+    return t.orders.select("o_orderkey", F.expr(expression).alias("output"))
 
 
 @query(f"""WITH o AS ({_OUT}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'numbered_list' WHEN 2 THEN 'bulleted_list' WHEN 3 THEN 'key_value' WHEN 4 THEN 'tool_call' ELSE 'plain_text' END AS format FROM o""")
