@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -13,6 +12,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import shared_dir
+
+__all__ = ["WORD", "fold", "fresh", "give_back", "new_path", "open_path", "read", "shared_dir", "written"]
+
 #: One word: a run of bytes other than ASCII white space. Java and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,22 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only on one machine, where
-    that is unset (tests), a folder of our own is made; elsewhere that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
