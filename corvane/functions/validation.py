@@ -30,3 +30,25 @@ def valid(*statuses: Column) -> Column:
     for s in statuses:
         out = out & (s != "failed")
     return out
+
+
+def rule(value: Column, least: int | None = None, most: int | None = None, pattern: str | None = None, low: float | None = None, high: float | None = None) -> Column:
+    """passed or failed: a text's length, its pattern, a number's range; a missing value fails, a rule that is not given passes."""
+    ok = value.isNotNull()
+    if least is not None:
+        ok = ok & (F.length(value) >= least)
+    if most is not None:
+        ok = ok & (F.length(value) <= most)
+    if pattern is not None:
+        ok = ok & value.rlike(pattern)
+    if low is not None:
+        ok = ok & F.coalesce(value.try_cast("double") >= low, F.lit(False))
+    if high is not None:
+        ok = ok & F.coalesce(value.try_cast("double") <= high, F.lit(False))
+    return F.when(F.coalesce(ok, F.lit(False)), "passed").otherwise("failed")
+
+
+def summary(statuses: Column) -> Column:
+    """struct(passed, warnings, failed, skipped) of an array of statuses."""
+    many = lambda s: F.size(F.filter(statuses, lambda x: x == s))
+    return F.struct(*[many(s).alias(n) for s, n in (("passed", "passed"), ("warning", "warnings"), ("failed", "failed"), ("skipped", "skipped"))])

@@ -66,3 +66,36 @@ def with_fallback(questions: DataFrame, routed: DataFrame, fallback: str) -> Dat
     best = routed.where("rank = 1").select("query_id", "route", "score", "confidence")
     out = questions.select("query_id").join(best, "query_id", "left")
     return out.select("query_id", F.coalesce("route", F.lit(fallback)).alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
+
+
+# The words of the ready-made group for questions over documents.
+RAG_WORDS = ["according", "find", "search", "retrieve", "document", "manual", "policy", "report"]
+RAG_EXCLUDED = ["write", "create", "generate", "code"]
+
+
+def registered(routes: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
+    """``routes`` and ``new`` ones; a name that is taken raises unless it is to be replaced."""
+    taken = new.join(routes.select("route"), "route", "left_semi")
+    if not replace and not taken.isEmpty():
+        raise ValueError(f"route {taken.first().route!r} is there already")
+    return routes.join(new.select("route"), "route", "left_anti").unionByName(new)
+
+
+def selected(routes: DataFrame, tag: str | None = None, enabled: bool | None = None) -> DataFrame:
+    """Routes with a tag (column ``tags``), enabled or not."""
+    out = routes if tag is None else routes.where(F.array_contains("tags", tag))
+    return out if enabled is None else out.where(F.col("enabled") == enabled)
+
+
+def effective(score: Column, bias: Column) -> Column:
+    """A score and its bias, 1 at most."""
+    return F.round(F.least(F.lit(1.0), score + bias), 6)
+
+
+def group_scores(questions: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query_id, grp, score): the share of each group's words that a question holds and its boost if it holds any; 0 with an excluded word. groups: grp, any_of, excluded, boost."""
+    if groups.limit(10_001).count() > 10_000:
+        raise ValueError("groups are configuration: 10 000 at most")
+    pairs = questions.crossJoin(F.broadcast(groups))
+    share = keyword_score(F.col("text"), F.expr("cast(array() as array<string>)"), F.col("any_of"), F.col("excluded"))
+    return pairs.select("query_id", "grp", F.round(F.least(F.lit(1.0), share + F.when(share > 0, F.col("boost")).otherwise(0.0)), 6).alias("score"))

@@ -143,6 +143,12 @@ class Store:
         best = scored.groupBy("vec_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
         return best.withColumnRenamed("vec_id", "chunk_id").join(others.select("chunk_id", "doc_id"), "chunk_id")
 
+    def chunks_of(self, doc_id: str, namespace: str | None = "") -> DataFrame:
+        return self.rows(namespace).where(F.col("doc_id") == doc_id)
+
+    def documents(self, namespace: str | None = "") -> DataFrame:
+        return self.rows(namespace).select("doc_id").distinct()
+
     def fetch(self, chunk_ids: DataFrame, namespace: str | None = "") -> DataFrame:
         return rows.fetch(self.rows(namespace), chunk_ids, "chunk_id")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import caches, generation
+from corvane.functions import validation as va
+from corvane.operators import caches, generation, prompts, routing
 from corvane.plans.registry import Tables, query
 
 _WORDS = r"len(regexp_extract_all(text, '\s*\S+|\s+$'))"
@@ -70,3 +71,39 @@ def answers_parsed(t: Tables) -> DataFrame:
     p = generation.parsed_or(t.orders.select("o_orderkey", out.alias("output")))
     s = generation.answer_schema(F.col("parsed"))
     return p.select("o_orderkey", "how", s["answer"].alias("answer"), s["confidence"].alias("confidence"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS n FROM events")
+def rate_1s(t: Tables) -> DataFrame:
+    """Requests of the last second: the window of a limit of so many a second."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-1_000_000, 0)
+    return t.events.select("event_id", F.count("*").over(w).alias("n"))
+
+
+@query("SELECT doc_id, round(least(1.0, quality * 0.9 + toxic * 0.3), 6)::DOUBLE AS score FROM labels")
+def route_effective(t: Tables) -> DataFrame:
+    return t.labels.select("doc_id", routing.effective(F.col("quality") * 0.9, F.col("toxic") * 0.3).alias("score"))
+
+
+@query("""WITH g AS (SELECT * FROM (VALUES ('rag', ['according', 'find', 'search', 'retrieve', 'document', 'manual', 'policy', 'report'], ['write', 'create', 'generate', 'code'], 0.08), ('talk', ['hello', 'thanks', 'please'], []::VARCHAR[], 0.0)) v(grp, any_of, excluded, boost)),
+s AS (SELECT conv_id, turn, grp, boost, CASE WHEN len(list_filter(excluded, lambda w: contains(lower(text), w))) > 0 THEN 0 ELSE len(list_filter(any_of, lambda w: contains(lower(text), w))) / len(any_of) END AS s FROM conversations, g WHERE role = 'user')
+SELECT conv_id, turn, grp, round(least(1.0, s + CASE WHEN s > 0 THEN boost ELSE 0 END)::DOUBLE, 6) AS score FROM s""")
+def route_group_scores(t: Tables) -> DataFrame:
+    """How well each question fits the ready-made group for documents, and one for talk."""
+    groups = t.spark.createDataFrame([("rag", routing.RAG_WORDS, routing.RAG_EXCLUDED, 0.08), ("talk", ["hello", "thanks", "please"], [], 0.0)], "grp string, any_of array<string>, excluded array<string>, boost double")
+    asked = t.conversations.where("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    return routing.group_scores(asked, groups).select("query_id.conv_id", "query_id.turn", "grp", "score")
+
+
+@query("""SELECT c_custkey, CASE WHEN length(c_name) BETWEEN 5 AND 18 THEN 'passed' ELSE 'failed' END AS name, CASE WHEN c_acctbal BETWEEN 0 AND 5000 THEN 'passed' ELSE 'failed' END AS balance, CASE WHEN regexp_matches(c_mktsegment, '^[A-M]') THEN 'passed' ELSE 'failed' END AS segment,
+CAST((length(c_name) BETWEEN 5 AND 18)::INT + (c_acctbal BETWEEN 0 AND 5000)::INT + regexp_matches(c_mktsegment, '^[A-M]')::INT AS INTEGER) AS passed FROM customer""")
+def validation_rules(t: Tables) -> DataFrame:
+    name, balance, segment = va.rule(F.col("c_name"), 5, 18), va.rule(F.col("c_acctbal").cast("string"), low=0, high=5000), va.rule(F.col("c_mktsegment"), pattern="^[A-M]")
+    return t.customer.select("c_custkey", name.alias("name"), balance.alias("balance"), segment.alias("segment"), va.summary(F.array(name, balance, segment))["passed"].alias("passed"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS tidy FROM conversations""".replace("\\\\", "\\"))
+def prompt_tidy(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", prompts.tidy(F.col("text")).alias("tidy"))
