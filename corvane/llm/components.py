@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_dir
+from corvane.llm.common import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,12 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each end of the links (u, v): root is the smallest node reachable from node.
 
     No neighbourhood is collected: a star needs the least neighbour of each
-    node, which is a combined aggregate, and a join. Each round is checkpointed,
-    so lineage stays short and a lost executor costs one round at most. Links
-    from a node to itself and repeated links change nothing.
+    node, which is a combined aggregate, and a join. Each round is written, so
+    lineage stays short, a lost executor costs one round at most, and few links
+    are few files. Links from a node to itself and repeated links change nothing.
     """
-    shared_dir(edges.sparkSession)
-    edges = edges.where("u <> v").select("u", "v").distinct().checkpoint()
+    edges = written(edges.where("u <> v").select("u", "v").distinct(), "links")
     before = None
     while (now := _state(edges)) != before:
         before = now
@@ -32,6 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = small.distinct().checkpoint()
+        edges = written(small.distinct(), "links")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

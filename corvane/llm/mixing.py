@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WORD, fresh, read, shared_dir, written
 
 ROUNDS, CLOSE = 60, 1e-9
-#: Rounds of mending by single documents, at most; each source is done when no document brings it closer.
-MENDS = 40
+#: Single documents by which a source may be mended; it is done before when none brings it closer.
+MENDS = 6
 #: Parts into which the documents of one source and size are dealt before they are numbered.
 PARTS = 64
 _UNIT = 1_000_000
@@ -105,7 +105,8 @@ def copies_by_size(counts: DataFrame, goals: DataFrame) -> DataFrame:
         o, r = out.alias("o"), left.alias("r")
         fits = o.join(r, F.col("o.source").eqNullSafe(F.col("r.source"))).select("o.*", "left").where(((F.col("left") > 0) & (F.col("taken") < 2 * F.col("n"))) | ((F.col("left") < 0) & (F.col("taken") > 0)))
         off = F.abs(F.abs(F.col("left")) - F.col("size"))
-        best = fits.where(off < F.abs(F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", F.signum("left").cast("long").alias("by"))).alias("b")).select(F.col("source").alias("s"), F.col("b.size").alias("z"), "b.by").checkpoint()
+        best = fits.where(off < F.abs(F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", F.signum("left").cast("long").alias("by"))).alias("b")).select(F.col("source").alias("s"), F.col("b.size").alias("z"), "b.by")
+        best = written(best, "mends")  # a row for each source at most
         if best.isEmpty():
             break
         mended = out.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")

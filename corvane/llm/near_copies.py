@@ -31,7 +31,7 @@ from corvane.llm.components import components
 from corvane.llm.simhash import fold_bits, links, one_of_each
 
 #: Bands, minimal hashes in a band, and rounds of comparing a band with one of its classes at most.
-BANDS, DEEP, ROUNDS = 40, 5, 4
+BANDS, DEEP, ROUNDS = 40, 5, 2
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(7)
@@ -123,22 +123,18 @@ def _close_prints(classes: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(node, root) of the classes that are connected over pairs of ``near`` (u, v) or of a band (key, cls) that are alike."""
-    tested = near
-    found = written(_verified(near, sets, least), "print-links")
-    rooted = written(components(found), "roots")
-    mixed = _mixed(members, rooted)
-    if mixed.isEmpty():
-        return rooted
+    rooted = near.select(F.col("u").alias("node"), F.col("u").alias("root")).where("false")
+    mixed, tested = members.withColumn("root", F.col("cls")), near
     for n in range(ROUNDS):
         lead = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(n)).alias("h"), "cls", "root")).alias("lead"))
-        star = mixed.join(lead, "key").where(F.col("root") != F.col("lead.root")).select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v")).distinct()
-        star = written(star.join(tested, ["u", "v"], "left_anti"), "star-pairs")
+        star = mixed.join(lead, "key").where(F.col("root") != F.col("lead.root")).select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v"))
+        # The pairs that the SimHash tables found are tested along with the first round's.
+        star = written(star.union(near).distinct() if n == 0 else star.distinct().join(tested, ["u", "v"], "left_anti"), "star-pairs")
         new = written(_verified(star, sets, least), "star-links")
-        tested = tested.union(star)
+        tested = star if n == 0 else tested.union(star)
         if new.isEmpty():
             break
-        found = found.union(new)
-        rooted = written(components(found), "roots")
+        rooted = _connected(rooted, new, n == 0)
         mixed = _mixed(members, rooted)
         if mixed.isEmpty():
             return rooted
@@ -148,7 +144,19 @@ def _links(members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -
     one, other = mixed.select("key", F.col("root").alias("p"), F.col("cls").alias("c")), mixed.select("key", F.col("root").alias("q"), F.col("cls").alias("d"))
     pairs = apart.join(one, ["key", "p"]).join(other, ["key", "q"]).select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
     new = written(_verified(pairs, sets, least), "links")
-    return rooted if new.isEmpty() else written(components(found.union(new)), "roots")
+    return rooted if new.isEmpty() else _connected(rooted, new, False)
+
+
+def _connected(rooted: DataFrame, new: DataFrame, first: bool) -> DataFrame:
+    """``rooted`` (node, root) with the links ``new`` (u, v): only roots are connected anew, not all that they stand for."""
+    if first:
+        return written(components(new), "roots")
+    of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = new.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    moved = written(components(lifted), "moved")
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = rooted.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(kept.union(moved.join(rooted.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
 
 def _mixed(members: DataFrame, rooted: DataFrame) -> DataFrame:
