@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,9 @@ def allowed(requests: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def suggested_budget(base: Column, mean_used: Column, samples: Column) -> Column:
-    """A third over what was used on average if that is below half of the budget and ten samples tell so, 200 at least."""
-    less = F.greatest(F.lit(200), (mean_used * 1.3).cast("int"))
-    return F.when((samples >= 10) & (mean_used < base * 0.5), less).otherwise(base)
+    """A third over what was used on average if that is below half of the budget and ten samples tell so, 200 at least; exact where the mean is a decimal."""
+    less = F.greatest(F.lit(200), (mean_used * F.lit(Decimal("1.3"))).cast("int"))
+    return F.when((samples >= 10) & (mean_used < base * F.lit(Decimal("0.5"))), less).otherwise(base)
 
 
 def tuning_hints(records: DataFrame) -> DataFrame:

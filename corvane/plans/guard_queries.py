@@ -43,9 +43,16 @@ def permissions(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, CASE WHEN count(*) >= 10 AND avg(value) * 10 < 1000 THEN greatest(200, CAST(floor(avg(value) * 10 * 1.3) AS INTEGER)) ELSE 2000 END AS budget FROM events GROUP BY 1")
 def budget_suggested(t: Tables) -> DataFrame:
-    """Each user's budget of 2000 after what was used, ten times the events' values."""
-    used = t.events.groupBy("user_id").agg((F.avg("value") * 10).alias("used"), F.count("*").alias("n"))
-    return used.select("user_id", guards.suggested_budget(F.lit(2000), F.col("used"), F.col("n")).alias("budget"))
+    """Each user's budget of 2000 after what was used, ten times the events' values.
+
+    Sums of doubles depend on the order of the rows, which tips a budget that is
+    an exact integer; so values are summed as decimals wherever these are exact.
+    """
+    exact = F.col("value").try_cast("decimal(28,10)")
+    told = F.count_if(F.col("value").isNotNull() & ~F.coalesce(exact.cast("double") == F.col("value"), F.lit(False))) == 0
+    used = t.events.groupBy("user_id").agg(F.avg(exact).alias("exact"), F.avg("value").alias("mean"), told.alias("told"), F.count("*").alias("n"))
+    budget = lambda mean: guards.suggested_budget(F.lit(2000), F.col(mean) * 10, F.col("n"))
+    return used.select("user_id", F.when(F.col("told"), budget("exact")).otherwise(budget("mean")).alias("budget"))
 
 
 @query("WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT count(*) AS queries, round(avg(value), 2) AS mean_ms, round(avg((event_type = 'error')::INT), 3) AS failures FROM l")

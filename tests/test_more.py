@@ -150,3 +150,14 @@ def test_entities_of_a_table(spark, sf_dir):
         found = list(dict.fromkeys(m.group() for m in pattern.finditer(r.text)))
         want[r.doc_id] = (len(found), found[0] if found else "")
     assert {r.doc_id: (r.distinct_entities, r.first) for r in catalog.QUERIES["entities"](spark, sf_dir).collect()} == want
+
+
+def test_budget_suggested_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Twelve values whose mean is exactly 50: as doubles, summed in this order, they fall short of it."""
+    from corvane import catalog
+
+    values = [85.05, 75.57, 16.95, 86.44, 24.52, 77.8, 33.46, 45.21, 24.9, 82.86, 22.81, 24.43]
+    rows = [(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, v) for v in values] + [(3, None)] + [(4, 50.0)] * 9 + [(5, float("nan"))] + [(5, 1e300)] * 12 + [(6, 1 / 3)] * 12
+    spark.createDataFrame(rows, "user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.budget for r in catalog.QUERIES["budget_suggested"](spark, str(tmp_path)).collect()}
+    assert got == {1: 650, 2: 650, 3: 650, 4: 2000, 5: 2000, 6: 200}
