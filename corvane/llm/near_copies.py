@@ -9,10 +9,15 @@ these tables alone miss most links; tables that found them would take some ten
 thousand probes a document. So each text also has 200 minimal hashes in 40 bands
 of five; a pair at 0.8 shares no band with a chance of 1e-7, and less above.
 Components need no pair whose ends are connected already, so a band's classes
-are first compared with one of them, then, in further rounds, with another one,
-and at last every pair of a band that is still in different components is
-compared: a large group costs rows in proportion, and no link between components
-is left out. Every link is verified on the whole sets.
+are first compared with one of them, then, in a further round, with another one,
+and at last those of a band that are still in different components are compared
+with each other: no link between components is left out. What can't be alike is
+never paired: shingles that no other candidate has can't be shared, so the
+others of a set bound the size of any set that it is alike to (``_bounds``).
+Texts that differ from each other by words of their own, however many come from
+one template, fall out by that bound. Of bands of more than SMALL classes the
+rest is compared in blocks, by products of matrices, so that no row stands for a
+pair. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import give_back, written
@@ -32,6 +37,8 @@ from corvane.llm.simhash import fold_bits, links, one_of_each
 
 #: Bands, minimal hashes in a band, and rounds of comparing a band with one of its classes at most.
 BANDS, DEEP, ROUNDS = 40, 5, 2
+#: Classes of a band that are paired row by row at most; classes, and their shingles, in a block of a larger one.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 17
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(7)
@@ -121,13 +128,41 @@ def _close_prints(classes: DataFrame) -> DataFrame:
     return same.union(linked.join(a, "u").join(b, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
 
 
+def _bounds(sets: DataFrame, least: float) -> DataFrame:
+    """(cls, n, most, own) of each set: its size, the size of a set alike to it at most, and its share of shingles that no other set has.
+
+    Of n shingles s are in other sets too, so two sets share s at most, and are
+    alike by ``least`` only if s is ``least / (1 + least)`` of both sizes or more.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cls, np.int64)), pa.array(found)], names=["cls", "s"])
+
+    single = sets.select("cls", "set").mapInArrow(run, "cls long, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count("*").alias("u"))
+    sized = sets.select("cls", (F.length("set") / 8).cast("long").alias("n")).join(single, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    most = F.floor((F.col("n") - F.col("u")) * ((1 + least) / least) - F.col("n") + 1e-6)
+    return written(sized.select("cls", "n", most.alias("most"), (F.col("u") / F.greatest("n", F.lit(1))).alias("own")), "bounds")
+
+
+def _may_link(a: str, b: str) -> Column:
+    return (F.col(f"{a}n") <= F.col(f"{b}most")) & (F.col(f"{b}n") <= F.col(f"{a}most"))
+
+
 def _links(members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(node, root) of the classes that are connected over pairs of ``near`` (u, v) or of a band (key, cls) that are alike."""
     rooted = near.select(F.col("u").alias("node"), F.col("u").alias("root")).where("false")
+    possible = members.join(_bounds(sets, least).where(F.col("most") >= F.col("n") * least - 1e-6), "cls")
+    keys = possible.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = written(possible.join(keys, "key", "left_semi").select("key", "cls", "n", "most", "own"), "possible")
     mixed, tested = members.withColumn("root", F.col("cls")), near
     for n in range(ROUNDS):
-        lead = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(n)).alias("h"), "cls", "root")).alias("lead"))
-        star = mixed.join(lead, "key").where(F.col("root") != F.col("lead.root")).select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v"))
+        # First the class that has least of its own, which stands in the middle of its like; then any.
+        first = F.col("own") if n == 0 else F.lit(0.0)
+        lead = mixed.groupBy("key").agg(F.min(F.struct(first.alias("o"), F.xxhash64("cls", F.lit(n)).alias("h"), "cls", "root", "n", "most")).alias("lead"))
+        star = mixed.join(lead, "key").where((F.col("root") != F.col("lead.root")) & _may_link("", "lead.")).select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v"))
         # The pairs that the SimHash tables found are tested along with the first round's.
         star = written(star.union(near).distinct() if n == 0 else star.distinct().join(tested, ["u", "v"], "left_anti"), "star-pairs")
         new = written(_verified(star, sets, least), "star-links")
@@ -138,13 +173,51 @@ def _links(members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -
         mixed = _mixed(members, rooted)
         if mixed.isEmpty():
             return rooted
-    groups = mixed.select("key", "root").distinct()
-    a, b = groups.select("key", F.col("root").alias("p")), groups.select("key", F.col("root").alias("q"))
-    apart = a.join(b, "key").where("p < q")
-    one, other = mixed.select("key", F.col("root").alias("p"), F.col("cls").alias("c")), mixed.select("key", F.col("root").alias("q"), F.col("cls").alias("d"))
-    pairs = apart.join(one, ["key", "p"]).join(other, ["key", "q"]).select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-    new = written(_verified(pairs, sets, least), "links")
-    return rooted if new.isEmpty() else _connected(rooted, new, False)
+    counted = mixed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all"))
+    held = written(mixed.join(counted, "key"), "apart")
+    a, b = (held.where(F.col("c") <= SMALL).select("key", *[F.col(c).alias(f"{x}{c}") for c in ("cls", "root", "n", "most")]) for x in ("p_", "q_"))
+    apart = a.join(b, (a.key == b.key) & (F.col("p_cls") < F.col("q_cls")) & (F.col("p_root") != F.col("q_root")) & _may_link("p_", "q_"))
+    pairs = apart.select(F.col("p_cls").alias("u"), F.col("q_cls").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    new = written(_verified(pairs, sets, least).union(_in_blocks(held.where(F.col("c") > SMALL), sets, least)).distinct(), "links")
+    return rooted if new.isEmpty() else _connected(rooted, new, rooted.isEmpty())
+
+
+def _in_blocks(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): for each two components of a band in ``held`` (key, cls, root, n, most, c, all) that meet in two blocks, one of the links between them."""
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    cut = held.join(sets, "cls").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = cut.select("key", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "cls", "root", "n", "most", "set")
+    dealt = dealt.select("key", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "cls", "root", "n", "most", "set")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, b, cls, root, n, most = (t.column(c).to_numpy() for c in ("i", "j", "b", "cls", "root", "n", "most"))
+        x, y = np.nonzero(b == i[0])[0], np.nonzero(b == j[0])[0]
+        may = (root[x][:, None] != root[y]) & (n[x][:, None] <= most[y]) & (n[y] <= most[x][:, None])
+        x, y, may = x[may.any(1)], y[may.any(0)], may[may.any(1)][:, may.any(0)]
+        none = np.empty(0, np.int64)
+        if not may.size:
+            return pa.table({"u": none, "v": none})
+        raw = t.column("set").to_pylist()
+        held = np.union1d(x, y)
+        every = [np.frombuffer(raw[r], np.uint64) for r in held]
+        row = np.repeat(np.arange(len(held)), [len(e) for e in every])
+        _, at, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+        row, at = row[times[at] > 1], at[times[at] > 1]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], np.unique(at[order], return_inverse=True)[1]
+        px, py = np.searchsorted(held, x), np.searchsorted(held, y)
+        same = np.zeros(may.shape, np.int64)
+        for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            lo, hi = np.searchsorted(at, [begin, begin + 4096])
+            has = np.zeros((len(held), 4096), np.float32)
+            has[row[lo:hi], at[lo:hi] - begin] = 1
+            same += (has[px] @ has[py].T).astype(np.int64)
+        p, q = np.nonzero(may & (same >= least * (n[x][:, None] + n[y] - same) - 1e-9))
+        p, q = x[p], y[q]
+        _, one = np.unique(np.stack([np.minimum(root[p], root[q]), np.maximum(root[p], root[q])]), axis=1, return_index=True)
+        return pa.table({"u": np.minimum(cls[p[one]], cls[q[one]]), "v": np.maximum(cls[p[one]], cls[q[one]])})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def _connected(rooted: DataFrame, new: DataFrame, first: bool) -> DataFrame:
@@ -160,8 +233,8 @@ def _connected(rooted: DataFrame, new: DataFrame, first: bool) -> DataFrame:
 
 
 def _mixed(members: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(key, cls, root): the classes of bands that hold more than one component."""
-    named = members.join(rooted, members.cls == rooted.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    """``members`` with their roots: the classes of bands that hold more than one component."""
+    named = members.join(rooted, members.cls == rooted.node, "left").select(*members.columns, F.coalesce("root", "cls").alias("root"))
     keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     return written(named.join(keys, "key", "left_semi"), "mixed")
 
