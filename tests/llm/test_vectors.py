@@ -99,3 +99,22 @@ def test_ann_always_finds_k(spark):
     assert len(counts) == len(data) and set(counts.values()) == {20}
     twice = df.union(df.where("vec_id < 30").withColumn("vec_id", df.vec_id * 0 + 7))
     assert {r["count"] for r in ann.nearest(twice, df.where("vec_id = 7"), 40).groupBy("query_id").count().collect()} == {40}
+
+
+def test_ann_scores_small_blocks_together(monkeypatch):
+    import numpy as np
+
+    from corvane.llm import ann
+
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(600, 16))
+    fitted, pushes, push = ann.Quantiser(m, 5, 20, 4, 0.97), [], ann.Best.push
+    at = fitted.nearest(m)
+    code = fitted.codes(m, at)
+    blocks = [(int(at[r[0]]), r, code[r], m[r]) for x in np.unique(at) for r in np.array_split(np.nonzero(at == x)[0], 3) if len(r)]
+    monkeypatch.setattr(ann.Best, "push", lambda self, *x: pushes.append(1) or push(self, *x))
+    best, asked = ann.Best(10, 5, np.float64), np.arange(10)
+    ann._search(blocks, best, asked, m[:10], fitted, 600, np.ones((10, len(fitted.coarse)), bool))
+    scores = m[:10] @ m.T
+    scores[asked, asked] = -np.inf
+    assert (best.id == np.argsort(-scores, axis=1)[:, :5]).all() and len(pushes) < 5
